@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, licenses, media, packing, sharding, token_counts, warc
+from brindle.llm import decontamination, licenses, media, packing, quality, sharding, token_counts, warc
 from brindle.llm.common import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,10 @@ def _sharding_sql() -> str:
     SELECT doc_id, slot, CAST(t.shards[slot + 1] AS INTEGER) AS shard FROM s, t"""
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -64,6 +68,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_license_scan": op4_license_scan,
     "op5_warc": op5_warc,
