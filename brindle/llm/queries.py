@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, licenses, media, packing, quality, sharding, token_counts, warc
+from brindle.llm import decontamination, katz, licenses, media, packing, quality, sharding, token_counts, warc
 from brindle.llm.common import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
 
 
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -75,6 +79,7 @@ QUERIES |= {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_media_columns": op7_media_columns,
     "op8_decontamination": op8_decontamination,
+    "op10_katz_scores": op10_katz_scores,
 }
 ORACLES["op1_sharding"] = _sharding_sql()
 
