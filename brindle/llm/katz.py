@@ -36,42 +36,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import crc_fold, materialize, parallel_tasks, scratch_path
+from brindle.llm.packed import mixed, pack, small, unpack
 
 CHUNK_TOKENS, HOT_TOKENS = 750_000, 1_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 END, START = b" ", b"  "  # no word holds a space
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(32))
-
-
-def pack(values: np.ndarray) -> bytes:
-    """An array as zstd-packed byte planes, which suits small numbers."""
-    a = np.ascontiguousarray(values)
-    return a.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    dtype = np.dtype(bytes(data[:1]).decode())
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
-    return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
-
-
-def _small(values: np.ndarray) -> np.ndarray:
-    """Unsigned 32-bit integers where they do, else 64-bit ones."""
-    return values.astype(np.uint32 if not values.size or values.max() < 1 << 32 else np.uint64)
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    z = values.astype(np.uint64) * _MIX[0]
-    z = (z ^ (z >> _MIX[2])) * _MIX[1]
-    return z ^ (z >> _MIX[2])
-
 
 def tokens(text: str | None) -> list[bytes]:
     """Words between white space with A-Z lower-cased, then the end token."""
@@ -107,7 +82,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taught = np.repeat(~np.array(held, bool), sizes)
         counts = np.bincount(stream[taught], minlength=len(order))
         counts[place[1]] = sum(not h for h in held)
-        values = [base + made, ids, pack(np.array(held, np.uint8)), pack(np.array(sizes, np.uint32)), pack(stream), pack(hashes[order]), pack(_small(counts))]
+        values = [base + made, ids, pack(np.array(held, np.uint8)), pack(np.array(sizes, np.uint32)), pack(stream), pack(hashes[order]), pack(small(counts))]
         kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
@@ -176,11 +151,11 @@ def _count_words(parts: int):
         at, rows = 0, []
         for chunk, h, _ in asked:
             here = place[at : at + len(h)]
-            rows.append((0, chunk, int(key[0]), pack(_small(number[here])), pack(_small(total[here])), 0, 0))
+            rows.append((0, chunk, int(key[0]), pack(small(number[here])), pack(small(total[here])), 0, 0))
             at += len(h)
         real = (total > 0) & (hashes != np.uint64(start))
         known = order[: int((total > 0).sum())]
-        rows.append((1, -1, int(key[0]), pack(hashes[known]), pack(_small(total[known])), int(real.sum()), int(total[real].sum())))
+        rows.append((1, -1, int(key[0]), pack(hashes[known]), pack(small(total[known])), int(real.sum()), int(total[real].sum())))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _WORDS.split(", ")])
 
     return run
@@ -207,7 +182,7 @@ class _Pairs:
         self.first, self.second = keys // width, keys % width
         a, b = number[self.first], number[self.second]
         split = np.maximum(1, -(-count[self.first] // HOT_TOKENS)).astype(np.uint64)
-        part = (_mixed(_mixed(a) + _mixed(b) % split) % np.uint64(parts)).astype(np.int64)
+        part = (mixed(mixed(a) + mixed(b) % split) % np.uint64(parts)).astype(np.int64)
         asked = np.flatnonzero((a > 0) & (b > 0))
         self.order = asked[np.lexsort((b[asked], a[asked], part[asked]))]
         self.part = part[self.order]
@@ -242,7 +217,7 @@ def _pair_requests(parts: int):
                 if i < j:
                     new = np.flatnonzero(np.r_[True, a[i + 1 : j] != a[i : j - 1]])
                     runs = np.diff(np.r_[new, j - i])
-                    rows.append((p, c.chunk, pack(_small(a[i:j][new])), pack(_small(runs)), pack(_small(b[i:j])), pack(_small(n[i:j])), pack(_small(c2[i:j]))))
+                    rows.append((p, c.chunk, pack(small(a[i:j][new])), pack(small(runs)), pack(small(b[i:j])), pack(small(n[i:j])), pack(small(c2[i:j]))))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _PAIR_REQUEST.split(", ")])
 
     return run
@@ -264,7 +239,7 @@ def _count_pairs(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.Data
     total = np.bincount(group, n, int(new.sum())).astype(np.int64)
     at, rows = 0, []
     for chunk, first, *_ in asked:
-        rows.append((0, key[0], chunk, pack(_small(total[group[at : at + len(first)]])), None, None, None, None))
+        rows.append((0, key[0], chunk, pack(small(total[group[at : at + len(first)]])), None, None, None, None))
         at += len(first)
     lead = order[new]
     seen = total > 0
@@ -274,8 +249,8 @@ def _count_pairs(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.Data
         add = lambda w: np.bincount(place, w, len(firsts)).astype(np.int64)
         sums = [add(n == r) for r in range(1, DISCOUNTED + 1)] + [add(np.where(n > DISCOUNTED, n, 0)), add(c2), add(np.ones(len(a)))]
         of = [int((n == r).sum()) for r in range(1, DISCOUNTED + 2)]
-        rows.append((1, key[0], -1, None, pack(_small(firsts)), None, [pack(_small(s)) for s in sums], of))
-        rows.append((2, key[0], -1, pack(_small(n)), pack(_small(a)), pack(_small(b)), None, None))
+        rows.append((1, key[0], -1, None, pack(small(firsts)), None, [pack(small(s)) for s in sums], of))
+        rows.append((2, key[0], -1, pack(small(n)), pack(small(a)), pack(small(b)), None, None))
     yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PAIR_ROWS.split(", ")])
 
 
@@ -320,7 +295,7 @@ def _first_parts(parts: int):
                 part = (number - 1) % parts
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = [(p, pack(_small(number[order[i:j]])), [pack(s[order[i:j]]) for s in table]) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+                rows = [(p, pack(small(number[order[i:j]])), [pack(s[order[i:j]]) for s in table]) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
                 kinds = (pa.int32(), pa.binary(), pa.list_(pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "firsts", "sums"])
 
@@ -345,7 +320,7 @@ def _weigh(discount: np.ndarray, n_tokens: int, n_words: int):
             want = unpack(r.numbers).astype(np.int64)
             at = np.searchsorted(known[:-1], want)
             at = np.where((known[at] == want) & (want > 0), at, len(known) - 1)
-            rows.append((r.chunk, r.part, pack(weight[at]), pack(_small(below[at]))))
+            rows.append((r.chunk, r.part, pack(weight[at]), pack(small(below[at]))))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _WEIGHTS.split(", ")])
 
     return run

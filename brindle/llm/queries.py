@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, katz, licenses, media, packing, quality, sharding, token_counts, warc
+from brindle.llm import decontamination, jaccard, katz, licenses, media, packing, quality, sharding, token_counts, warc
 from brindle.llm.common import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES |= {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_media_columns": op7_media_columns,
     "op8_decontamination": op8_decontamination,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_katz_scores": op10_katz_scores,
 }
 ORACLES["op1_sharding"] = _sharding_sql()
@@ -108,3 +113,22 @@ SELECT p.page_id, payload_bytes, payload_digest,
        CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (html)"""
+
+_SPLIT = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+JACCARD_SQL = f"""
+d AS MATERIALIZED (SELECT doc_id, {_SPLIT} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+      JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+component AS MATERIALIZED (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+ORACLES["op9_jaccard_join"] = f"""
+WITH RECURSIVE {JACCARD_SQL}
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN component c USING (doc_id)"""
