@@ -40,11 +40,12 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import materialize, parallel_tasks
 from brindle.llm.components import connected
+from brindle.llm.filters import holds, key_filter
 from brindle.llm.packed import mixed, pack, small, unpack
 
 WIDTH = 5
-#: Counters of the sketch (a byte each when broadcast), and bits of the filter of active classes.
-COUNTERS, FILTER_BITS = 1 << 22, 1 << 25
+#: Counters of the sketch, a byte each when broadcast.
+COUNTERS = 1 << 22
 _BLOCKS = 64
 #: A shingle of which a sketch counter holds this much, and this many times the mean, has its list split.
 HOT_COUNT, HOT_FACTOR = 1_000_000, 16
@@ -262,17 +263,6 @@ def short_lists(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
     return materialize(posted.groupBy("part", "hot").applyInPandas(_search, _FOUND), "lists", "kind")
 
 
-def _bits(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(FILTER_BITS // 512, bool)
-    for t in tables:
-        bits[t["bit"].to_numpy()] = True
-    yield pd.DataFrame({"block": [int(key[0])], "bits": [np.packbits(bits).tobytes()]})
-
-
-def _bit_of(cls: np.ndarray) -> np.ndarray:
-    return (cls.astype(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
 def _emit_sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, met = wanted.value, set()
@@ -281,7 +271,7 @@ def _emit_sets(wanted):
             for text in batch.column(0):
                 found = shingles(text.as_py())
                 c = _class_of(found) if len(found) else None
-                if c is None or c in met or not bits[(c % FILTER_BITS) >> 3] >> (7 - (c % FILTER_BITS & 7)) & 1:
+                if c is None or c in met or not holds(bits, np.array([c], np.uint64))[0]:
                     continue
                 met.add(c)
                 cls.append(_signed(c))
@@ -297,14 +287,7 @@ def _emit_sets(wanted):
 
 def class_sets(docs: DataFrame, active: DataFrame) -> DataFrame:
     """(class, hashes) of the classes in ``active`` (column a), found through a filter of fixed size."""
-    spark = docs.sparkSession
-    place = F.pmod(F.col("a"), F.lit(FILTER_BITS))  # FILTER_BITS divides 2**64, so this is the unsigned remainder
-    each = active.select(place.alias("at")).distinct()
-    each = each.select((F.col("at") / (FILTER_BITS // 512)).cast("int").alias("block"), (F.col("at") % (FILTER_BITS // 512)).cast("int").alias("bit"))
-    bits = np.zeros((512, FILTER_BITS // 4096), np.uint8)
-    for r in each.groupBy("block").applyInPandas(_bits, "block int, bits binary").collect():  # FILTER_BITS / 8 bytes
-        bits[r.block] = np.frombuffer(r.bits, np.uint8)
-    wanted = spark.sparkContext.broadcast(bits.ravel())
+    wanted = key_filter(active, "a")
     sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_emit_sets(wanted), "class long, hashes binary")
     return materialize(sets.dropDuplicates(["class"]), "sets")
 

@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.common import crc_fold
 
@@ -265,3 +266,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, he
     )
     scored = narrow.mapInArrow(_scorer(vectors, network), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _with_scores(vectors, network, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([pooled(t.as_py(), vectors.value) for t in batch.column(at)], np.float64).reshape(-1, WIDTH)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.value.score(x), pa.float64())], [*batch.schema.names, "_brindle_score"])
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents that the classifier does not reject, with their columns."""
+    vectors, network = train(docs, labels)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_brindle_score", T.DoubleType())])
+    scored = docs.mapInArrow(_with_scores(vectors, network, docs.columns.index("text")), schema)
+    return scored.where(F.col("_brindle_score") >= threshold).drop("_brindle_score")

@@ -1,11 +1,69 @@
-"""The corpus pipeline: operators applied one after the other, each stage written and read again."""
+"""The corpus pipeline: operators applied one after the other, each stage written and read again.
+
+Quality classifier (rejected documents go), n-gram Jaccard join (one document of
+each group stays), benchmark decontamination (documents with benchmark passages
+go), best-fit packing (the result: one row per piece with its sequence).
+
+Rows whose id is null cannot be named by a group, so the second stage keeps them;
+rows that repeat an id count as copies there. Whatever stays is never moved or
+changed by a filtering stage, and keeps all columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from brindle.llm import decontamination, jaccard, packing, quality
+from brindle.llm.common import materialize
+from brindle.llm.filters import drop_keys, key_filter, split_rows
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near copies."""
+    found = materialize(jaccard.jaccard_components(docs), "components")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(
+        F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("_brindle_copy"), F.count(F.lit(1)).alias("n")
+    )
+    # Only rows that may go, or whose id repeats, are moved.
+    touched = materialize(ids.where("_brindle_copy or n > 1").select(F.col("doc_id").alias("_brindle_id"), "_brindle_copy"), "copies")
+    sure, rest = split_rows(docs, F.col("doc_id"), key_filter(touched, "_brindle_id"))
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    rest = rest.join(touched, F.col("doc_id") == F.col("_brindle_id"), "left").withColumn("_brindle_n", F.row_number().over(first))
+    return sure.union(rest.where("not coalesce(_brindle_copy, false) and (_brindle_n = 1 or _brindle_id is null)").select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    key = F.xxhash64("doc_id", "text")  # tells rows apart even if ids repeat or are null
+    found = decontamination.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_keys(docs, key, materialize(found.where("contaminated").select("doc_id"), "contaminated"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: SQL can express neither the classifier nor the tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
