@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators import aggregates, joins, ordering, violations
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +38,482 @@ def join_inner_multi(spark: SparkSession, d: str) -> DataFrame:
     c, n, r = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
     joined = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return joined.groupBy("r_name").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(
+    """SELECT * FROM nation"""
+)
+def scan_star(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation")
+
+
+@query(
+    """SELECT c_name, c_mktsegment FROM customer"""
+)
+def project_columns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_name", "c_mktsegment")
+
+
+@query(
+    """SELECT * FROM orders WHERE o_totalprice >= 10000 AND o_totalprice <= 400000 AND o_orderkey > 100
+    AND o_custkey < 1000 AND o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT'"""
+)
+def filter_compare_ops(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.where(
+        (o.o_totalprice >= 10000) & (o.o_totalprice <= 400000) & (o.o_orderkey > 100)
+        & (o.o_custkey < 1000) & (o.o_orderstatus != "F") & (o.o_orderpriority == "1-URGENT")
+    )
+
+
+@query(
+    """SELECT * FROM customer WHERE (c_nationkey = 3 AND c_acctbal > 0) OR NOT (c_mktsegment <> 'HOUSEHOLD')"""
+)
+def filter_bool_logic(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    return c.where((c.c_nationkey == 3) & (c.c_acctbal > 0) | ~(c.c_mktsegment != "HOUSEHOLD"))
+
+
+@query(
+    """SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (1, 2, 3)"""
+)
+def filter_in_list(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    return c.where(c.c_nationkey.isin(1, 2, 3)).select("c_custkey", "c_nationkey")
+
+
+@query(
+    """SELECT * FROM nation WHERE n_nationkey NOT IN (9, 10)"""
+)
+def filter_not_in_list(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    return n.where(~n.n_nationkey.isin(9, 10))
+
+
+@query(
+    """SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00' AND event_type = 'click'"""
+)
+def filter_timestamp(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.where((e.ts > F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")) & (e.event_type == "click")).select("event_id", "user_id")
+
+
+@query(
+    """SELECT n_nationkey FROM nation WHERE n_regionkey <> 0"""
+)
+def filter_truthy(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    return n.where(n.n_regionkey.cast("boolean")).select("n_nationkey")
+
+
+@query(
+    """SELECT * FROM lineitem WHERE l_discount > l_tax AND l_quantity < l_linenumber"""
+)
+def filter_column_to_column(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem")
+    return x.where((x.l_discount > x.l_tax) & (x.l_quantity < x.l_linenumber))
+
+
+@query(
+    """SELECT * FROM orders WHERE o_orderkey = 7"""
+)
+def filter_point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.where(o.o_orderkey == 7)
+
+
+@query(
+    """SELECT * FROM nation WHERE 1 = 0 OR n_nationkey = 3"""
+)
+def constant_folding(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    return n.where((F.lit(1) == 0) | (n.n_nationkey == 3))
+
+
+@query(
+    """SELECT * FROM orders WHERE 1 = 0"""
+)
+def constant_false(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").where(F.lit(1) == 0)
+
+
+@query(
+    """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"""
+)
+def order_limit_topk(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.top(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 10, F.desc("o_totalprice"), F.asc("o_orderkey"))
+
+
+@query(
+    """SELECT c_name FROM (SELECT c_name, c_acctbal, c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20)"""
+)
+def order_unselected_key(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.top(table(spark, d, "customer"), 20, F.asc("c_acctbal"), F.asc("c_custkey")).select("c_name")
+
+
+@query(
+    """SELECT * FROM nation LIMIT 0"""
+)
+def limit_zero(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").limit(0)
+
+
+@query(
+    """SELECT DISTINCT o_orderpriority FROM orders"""
+)
+def distinct_values(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderpriority").distinct()
+
+
+@query(
+    """SELECT DISTINCT o_orderstatus, o_orderpriority FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 3)"""
+)
+def limit_then_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.limit_then_distinct(table(spark, d, "orders"), 3, F.asc("o_orderkey")).select("o_orderstatus", "o_orderpriority").distinct()
+
+
+@query(
+    """SELECT o_orderpriority FROM (SELECT o_orderpriority, min(o_totalprice) AS m FROM orders GROUP BY 1 ORDER BY m)"""
+)
+def distinct_ordered_by_other(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.distinct_ordered(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice")
+
+
+@query(
+    """SELECT n_name, s_name FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON n_nationkey = s_nationkey"""
+)
+def join_left(spark: SparkSession, d: str) -> DataFrame:
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier").where("s_acctbal > 5000")
+    return n.join(s, n.n_nationkey == s.s_nationkey, "left").select("n_name", "s_name")
+
+
+@query(
+    """SELECT n_name, s_name FROM (SELECT * FROM nation WHERE n_regionkey = 1) RIGHT JOIN supplier ON n_nationkey = s_nationkey"""
+)
+def join_right(spark: SparkSession, d: str) -> DataFrame:
+    n, s = table(spark, d, "nation").where("n_regionkey = 1"), table(spark, d, "supplier")
+    return n.join(s, n.n_nationkey == s.s_nationkey, "right").select("n_name", "s_name")
+
+
+@query(
+    """SELECT n_name, s_name FROM (SELECT * FROM nation WHERE n_regionkey = 1) FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON n_nationkey = s_nationkey"""
+)
+def join_right_compat(spark: SparkSession, d: str) -> DataFrame:
+    n, s = table(spark, d, "nation").where("n_regionkey = 1"), table(spark, d, "supplier").where("s_acctbal > 5000")
+    return n.join(s, n.n_nationkey == s.s_nationkey, "full").select("n_name", "s_name")
+
+
+@query(
+    """SELECT n_name, s_name FROM (SELECT * FROM nation WHERE n_regionkey < 3) FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 2000) ON n_nationkey = s_nationkey"""
+)
+def join_full(spark: SparkSession, d: str) -> DataFrame:
+    n, s = table(spark, d, "nation").where("n_regionkey < 3"), table(spark, d, "supplier").where("s_acctbal > 2000")
+    return n.join(s, n.n_nationkey == s.s_nationkey, "full").select("n_name", "s_name")
+
+
+@query(
+    """SELECT r_name, n_name FROM region CROSS JOIN nation"""
+)
+def join_cross(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "region").crossJoin(table(spark, d, "nation")).select("r_name", "n_name")
+
+
+@query(
+    """SELECT n.n_nationkey AS n_n_nationkey, n.n_name AS n_n_name, n.n_regionkey AS n_n_regionkey, r.r_regionkey AS r_r_regionkey, r.r_name AS r_r_name
+    FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"""
+)
+def join_star(spark: SparkSession, d: str) -> DataFrame:
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    return joins.join_star(n, r, ("n", "r"), F.col("n.n_regionkey") == F.col("r.r_regionkey"))
+
+
+@query(
+    """SELECT r_name, n_name FROM region JOIN nation ON r_regionkey < n_regionkey"""
+)
+def join_theta(spark: SparkSession, d: str) -> DataFrame:
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    return r.join(n, r.r_regionkey < n.n_regionkey).select("r_name", "n_name")
+
+
+@query(
+    """SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal"""
+)
+def join_composite(spark: SparkSession, d: str) -> DataFrame:
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    return s.join(c, (s.s_nationkey == c.c_nationkey) & (s.s_acctbal > c.c_acctbal)).select("s_suppkey", "c_custkey")
+
+
+@query(
+    """SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"""
+)
+def join_self_alias(spark: SparkSession, d: str) -> DataFrame:
+    a, b = table(spark, d, "nation").alias("a"), table(spark, d, "nation").alias("b")
+    same = (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))
+    return a.join(b, same).select(F.col("a.n_name").alias("a_name"), F.col("b.n_name").alias("b_name"))
+
+
+@query(
+    """SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def join_hint_merge(spark: SparkSession, d: str) -> DataFrame:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return joins.hinted(c, n, c.c_nationkey == n.n_nationkey, "merge").select("c_custkey", "n_name")
+
+
+@query(
+    """SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def join_hint_hash(spark: SparkSession, d: str) -> DataFrame:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return joins.hinted(c, n, c.c_nationkey == n.n_nationkey, "hash").select("c_custkey", "n_name")
+
+
+@query(
+    """SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def join_hint_broadcast(spark: SparkSession, d: str) -> DataFrame:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return joins.hinted(c, n, c.c_nationkey == n.n_nationkey, "broadcast").select("c_custkey", "n_name")
+
+
+@query(
+    """SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def join_hint_nested_loop(spark: SparkSession, d: str) -> DataFrame:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return joins.hinted(c, n, c.c_nationkey == n.n_nationkey, "nested_loop").select("c_custkey", "n_name")
+
+
+@query(
+    """WITH k AS (SELECT n_name, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS k FROM nation)
+    SELECT a.n_name AS a_name, b.n_name AS b_name FROM k a JOIN k b ON a.k IS NOT DISTINCT FROM b.k"""
+)
+def join_null_safe(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "nation").select("n_name", F.when(F.col("n_regionkey") > 1, F.col("n_regionkey")).alias("k"))
+    a, b = k.alias("a"), k.alias("b")
+    return a.join(b, F.col("a.k").eqNullSafe(F.col("b.k"))).select(F.col("a.n_name").alias("a_name"), F.col("b.n_name").alias("b_name"))
+
+
+@query(
+    """SELECT o_orderpriority, count(*) AS cnt, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_shipdate > TIMESTAMP '1995-01-01' GROUP BY o_orderpriority"""
+)
+def join_large(spark: SparkSession, d: str) -> DataFrame:
+    x, o = table(spark, d, "lineitem").where("l_shipdate > timestamp_ntz'1995-01-01 00:00:00'"), table(spark, d, "orders")
+    joined = x.join(o, x.l_orderkey == o.o_orderkey)
+    return joined.groupBy("o_orderpriority").agg(aggregates.count().alias("cnt"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query(
+    """SELECT count(*) AS cnt, count(value) AS cnt_value, round(sum(value), 2) AS total, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events"""
+)
+def agg_global(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").agg(
+        aggregates.count().alias("cnt"), aggregates.count("value").alias("cnt_value"), F.round(aggregates.total("value"), 2).alias("total"),
+        F.round(aggregates.average("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"),
+    )
+
+
+@query(
+    """SELECT count(*) AS cnt, sum(value) AS total, avg(value) AS mean, min(value) AS low FROM events WHERE 1 = 0"""
+)
+def agg_empty_input(spark: SparkSession, d: str) -> DataFrame:
+    none = table(spark, d, "events").where(F.lit(1) == 0)
+    return none.agg(aggregates.count().alias("cnt"), aggregates.total("value").alias("total"), aggregates.average("value").alias("mean"), F.min("value").alias("low"))
+
+
+@query(
+    """SELECT count(*) AS cnt, coalesce(sum(value), 0) AS total, coalesce(avg(value), 0) AS mean FROM events WHERE 1 = 0"""
+)
+def agg_empty_compat(spark: SparkSession, d: str) -> DataFrame:
+    none, how = table(spark, d, "events").where(F.lit(1) == 0), "compat"
+    return none.agg(aggregates.count().alias("cnt"), aggregates.total("value", how).alias("total"), aggregates.average("value", how).alias("mean"))
+
+
+@query(
+    """SELECT c_nationkey, count(*) AS cnt FROM customer GROUP BY c_nationkey HAVING count(*) >= 60 AND avg(c_acctbal) > 0 ORDER BY cnt DESC"""
+)
+def agg_group_having_order(spark: SparkSession, d: str) -> DataFrame:
+    grouped = table(spark, d, "customer").groupBy("c_nationkey").agg(aggregates.count().alias("cnt"), F.avg("c_acctbal").alias("mean"))
+    return grouped.where("cnt >= 60 and mean > 0").orderBy(F.desc("cnt")).drop("mean")
+
+
+@query(
+    """SELECT c_mktsegment FROM customer GROUP BY c_mktsegment ORDER BY sum(c_acctbal) DESC"""
+)
+def agg_order_by_unselected(spark: SparkSession, d: str) -> DataFrame:
+    grouped = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.sum("c_acctbal").alias("total"))
+    return grouped.orderBy(F.desc("total")).select("c_mktsegment")
+
+
+@query(
+    """SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"""
+)
+def agg_count_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(aggregates.count_distinct("user_id").alias("users"))
+
+
+@query(
+    """SELECT count(DISTINCT (o_custkey, o_orderstatus)) AS cnt FROM orders"""
+)
+def agg_count_distinct_multi(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").agg(aggregates.count_distinct("o_custkey", "o_orderstatus").alias("cnt"))
+
+
+@query(
+    """SELECT count(DISTINCT coalesce(CAST(CASE WHEN n_regionkey > 1 THEN n_regionkey END AS VARCHAR), '')) AS cnt FROM nation"""
+)
+def agg_count_distinct_compat(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "nation").select(F.when(F.col("n_regionkey") > 1, F.col("n_regionkey")).alias("k"))
+    return k.agg(aggregates.count_distinct("k", semantics="compat").alias("cnt"))
+
+
+@query(
+    """SELECT o_orderstatus, o_orderpriority FROM orders GROUP BY o_orderstatus, o_orderpriority"""
+)
+def agg_group_only(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+
+
+@query(
+    """SELECT c_nationkey, arg_min(c_name, c_custkey) AS first_name, count(*) AS cnt FROM customer GROUP BY c_nationkey"""
+)
+def agg_exemplar(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(aggregates.exemplar("c_name", "c_custkey").alias("first_name"), aggregates.count().alias("cnt"))
+
+
+@query(
+    """SELECT n_name, round(sum(c_acctbal), 2) AS total, count(*) AS cnt FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"""
+)
+def agg_over_join(spark: SparkSession, d: str) -> DataFrame:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    grouped = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name")
+    return grouped.agg(F.round(F.sum("c_acctbal"), 2).alias("total"), aggregates.count().alias("cnt"))
+
+
+@query(
+    """SELECT c_mktsegment, min(c_name) AS low, max(c_name) AS high FROM customer GROUP BY c_mktsegment"""
+)
+def agg_min_max_string(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.min("c_name").alias("low"), F.max("c_name").alias("high"))
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS base_price,
+    round(sum(l_extendedprice * (1 - l_discount)), 2) AS disc_price, round(avg(l_quantity), 6) AS avg_qty, count(*) AS cnt
+    FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+)
+def agg_pricing_summary(spark: SparkSession, d: str) -> DataFrame:
+    grouped = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus")
+    return grouped.agg(
+        F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum("l_extendedprice"), 2).alias("base_price"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("disc_price"),
+        F.round(F.avg("l_quantity"), 6).alias("avg_qty"), aggregates.count().alias("cnt"),
+    )
+
+
+@query(
+    """SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"""
+)
+def sub_in(spark: SparkSession, d: str) -> DataFrame:
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 400000")
+    return joins.exists_in(c, o, c.c_custkey == o.o_custkey).select("c_custkey")
+
+
+@query(
+    """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)"""
+)
+def sub_not_in(spark: SparkSession, d: str) -> DataFrame:
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 100000")
+    return joins.not_exists_in(c, o, c.c_custkey == o.o_custkey).select("c_custkey")
+
+
+@query(
+    """SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')"""
+)
+def sub_exists(spark: SparkSession, d: str) -> DataFrame:
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus = 'P'")
+    return joins.exists_in(c, o, c.c_custkey == o.o_custkey).select("c_custkey")
+
+
+@query(
+    """SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)"""
+)
+def sub_not_exists(spark: SparkSession, d: str) -> DataFrame:
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 300000")
+    return joins.not_exists_in(c, o, c.c_custkey == o.o_custkey).select("c_custkey")
+
+
+@query(
+    """SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey
+    AND s.s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49))"""
+)
+def sub_nested(spark: SparkSession, d: str) -> DataFrame:
+    n, s, x = table(spark, d, "nation"), table(spark, d, "supplier"), table(spark, d, "lineitem").where("l_quantity > 49")
+    busy = joins.exists_in(s, x, s.s_suppkey == x.l_suppkey)
+    return joins.exists_in(n, busy, n.n_nationkey == busy.s_nationkey).select("n_name")
+
+
+@query(
+    """SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'renamed' ELSE n_name END AS n_name, n_regionkey FROM nation"""
+)
+def dml_update(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").withColumn("n_name", F.when(F.col("n_regionkey") == 1, "renamed").otherwise(F.col("n_name")))
+
+
+@query(
+    """SELECT * FROM nation WHERE n_regionkey <> 1"""
+)
+def dml_delete(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").where(~F.coalesce(F.col("n_regionkey") == 1, F.lit(False)))
+
+
+@query(
+    """SELECT * FROM region UNION ALL SELECT 5, 'ATLANTIS'"""
+)
+def dml_insert(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "region")
+    return r.unionByName(spark.createDataFrame([(5, "ATLANTIS")], r.schema))
+
+
+@query(
+    """SELECT *, CAST(NULL AS VARCHAR) AS note FROM region"""
+)
+def ddl_add_column(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "region").withColumn("note", F.lit(None).cast("string"))
+
+
+@query(
+    """SELECT n_nationkey, n_name FROM nation"""
+)
+def ddl_drop_column(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").drop("n_regionkey")
+
+
+@query(
+    """SELECT r_regionkey, r_name AS region_name FROM region"""
+)
+def ddl_rename_column(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "region").withColumnRenamed("r_name", "region_name")
+
+
+@query(
+    """SELECT s_suppkey, s_acctbal FROM supplier WHERE NOT (s_acctbal >= 0)"""
+)
+def check_violations(spark: SparkSession, d: str) -> DataFrame:
+    return violations.check_rows(table(spark, d, "supplier"), "s_acctbal >= 0").select("s_suppkey", "s_acctbal")
+
+
+@query(
+    """SELECT count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)"""
+)
+def fk_violations(spark: SparkSession, d: str) -> DataFrame:
+    lost = violations.orphans(table(spark, d, "lineitem"), "l_orderkey", table(spark, d, "orders"), "o_orderkey")
+    return lost.agg(aggregates.count().alias("orphans"))
+
+
+@query(
+    """SELECT c_nationkey, count(*) AS cnt FROM customer GROUP BY c_nationkey HAVING count(*) > 1"""
+)
+def dup_keys(spark: SparkSession, d: str) -> DataFrame:
+    return violations.duplicate_keys(table(spark, d, "customer"), "c_nationkey")
