@@ -64,7 +64,14 @@ class _Numbers(dict):
 _CHUNK = "chunk long, doc_ids array<long>, held binary, sizes binary, words binary, vocabulary binary, counts binary"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(chunk_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cut_chunks(batches, chunk_tokens)
+
+    return run
+
+
+def _cut_chunks(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[pa.RecordBatch]:
     base, made = TaskContext.get().partitionId() << 24, 0
     names = [x.split()[0] for x in _CHUNK.split(", ")]
 
@@ -95,7 +102,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(out)
             sizes.append(len(found))
             total += len(found)
-            if total >= CHUNK_TOKENS:
+            if total >= chunk_tokens:
                 yield closed()
                 made += 1
                 numbers, ids, held, sizes, words, total = fresh()
@@ -103,7 +110,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-def write_chunks(docs: DataFrame, held_fold: int, folds: int) -> DataFrame:
+def write_chunks(docs: DataFrame, held_fold: int, folds: int, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """The chunks of all documents, a table bucketed by chunk so that later steps need not shuffle it."""
     spark = docs.sparkSession
     narrow = docs.select(
@@ -112,7 +119,7 @@ def write_chunks(docs: DataFrame, held_fold: int, folds: int) -> DataFrame:
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(parallel_tasks(spark), size // 24_000_000), 100_000))
     name = f"brindle_chunks_{uuid.uuid4().hex}"
-    writer = narrow.mapInArrow(_chunks, _CHUNK).write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks"))
+    writer = narrow.mapInArrow(_chunks(chunk_tokens), _CHUNK).write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks"))
     writer.option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
@@ -173,7 +180,7 @@ def word_table(chunks: DataFrame) -> tuple[DataFrame, int]:
 class _Pairs:
     """The distinct pairs of a chunk, in the order in which it asks for them."""
 
-    def __init__(self, stream: np.ndarray, sizes: np.ndarray, start: int, number: np.ndarray, count: np.ndarray, parts: int):
+    def __init__(self, stream: np.ndarray, sizes: np.ndarray, start: int, number: np.ndarray, count: np.ndarray, parts: int, hot_tokens: int):
         width = len(number)
         first = np.empty(len(stream), np.int64)
         first[1:] = stream[:-1]
@@ -181,7 +188,7 @@ class _Pairs:
         keys, self.place = np.unique(first * width + stream, return_inverse=True)
         self.first, self.second = keys // width, keys % width
         a, b = number[self.first], number[self.second]
-        split = np.maximum(1, -(-count[self.first] // HOT_TOKENS)).astype(np.uint64)
+        split = np.maximum(1, -(-count[self.first] // hot_tokens)).astype(np.uint64)
         part = (mixed(mixed(a) + mixed(b) % split) % np.uint64(parts)).astype(np.int64)
         asked = np.flatnonzero((a > 0) & (b > 0))
         self.order = asked[np.lexsort((b[asked], a[asked], part[asked]))]
@@ -201,13 +208,13 @@ def _joined(replies: pd.DataFrame, *names: str) -> list[np.ndarray]:
 _PAIR_REQUEST = "part int, chunk long, firsts binary, runs binary, seconds binary, counts binary, second_counts binary"
 
 
-def _pair_requests(parts: int):
+def _pair_requests(parts: int, hot_tokens: int):
     def run(chunk: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for c in chunk.itertuples():
             number, count = (x.astype(np.int64) for x in _joined(words, "numbers", "counts"))
             stream, sizes, hashes = unpack(c.words), unpack(c.sizes).astype(np.int64), unpack(c.vocabulary)
-            pairs = _Pairs(stream, sizes, _start_of(hashes), number, count, parts)
+            pairs = _Pairs(stream, sizes, _start_of(hashes), number, count, parts, hot_tokens)
             taught = np.repeat(unpack(c.held) == 0, sizes)
             own = np.bincount(pairs.place[taught], minlength=len(pairs.first))
             a, b = number[pairs.first[pairs.order]], number[pairs.second[pairs.order]]
@@ -254,11 +261,11 @@ def _count_pairs(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.Data
     yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PAIR_ROWS.split(", ")])
 
 
-def pair_table(chunks: DataFrame, words: DataFrame, total: int) -> tuple[DataFrame, int]:
+def pair_table(chunks: DataFrame, words: DataFrame, total: int, hot_tokens: int = HOT_TOKENS) -> tuple[DataFrame, int]:
     """Kind 0: the counts each chunk asked for; kind 1: sums by first word; kind 2: the bigram table's partitions."""
     parts = int(max(parallel_tasks(chunks.sparkSession), total // 3_000_000))
     replies = words.where("kind = 0").select("chunk", "part", "numbers", "counts")
-    asked = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_pair_requests(parts), _PAIR_REQUEST)
+    asked = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_pair_requests(parts, hot_tokens), _PAIR_REQUEST)
     return materialize(asked.groupBy("part").applyInPandas(_count_pairs, _PAIR_ROWS), "pairs", "kind"), parts
 
 
@@ -329,7 +336,7 @@ def _weigh(discount: np.ndarray, n_tokens: int, n_words: int):
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _evaluate(discount: np.ndarray, n_tokens: int, n_words: int, parts: int):
+def _evaluate(discount: np.ndarray, n_tokens: int, n_words: int, parts: int, hot_tokens: int):
     def run(chunk: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         tables = []
         for c in chunk.itertuples():
@@ -337,7 +344,7 @@ def _evaluate(discount: np.ndarray, n_tokens: int, n_words: int, parts: int):
             number, count = (x.astype(np.int64) for x in _joined(words, "x", "y"))
             weight, below = (x.astype(np.float64) for x in _joined(weights, "x", "y"))
             stream, sizes, hashes = unpack(c.words), unpack(c.sizes).astype(np.int64), unpack(c.vocabulary)
-            pairs = _Pairs(stream, sizes, _start_of(hashes), number, count, parts)
+            pairs = _Pairs(stream, sizes, _start_of(hashes), number, count, parts, hot_tokens)
             found = np.zeros(len(pairs.first), np.int64)
             found[pairs.order] = _joined(asked, "x")[0]
             unigram = (count + 0.5) / (n_tokens + 0.5 * (n_words + 1))
@@ -354,13 +361,13 @@ def _evaluate(discount: np.ndarray, n_tokens: int, n_words: int, parts: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_fold: int = 1, folds: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, held_fold: int = 1, folds: int = 5, chunk_tokens: int = CHUNK_TOKENS, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document; the model learns
     from the documents outside the held-out fold."""
-    chunks = write_chunks(docs, held_fold, folds)
+    chunks = write_chunks(docs, held_fold, folds, chunk_tokens)
     words, word_parts = word_table(chunks)
     n_words, n_tokens = words.where("kind = 1").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    pairs, parts = pair_table(chunks, words, n_tokens)
+    pairs, parts = pair_table(chunks, words, n_tokens, hot_tokens)
     of = pairs.where("kind = 1").select([F.coalesce(F.sum(F.col("counts_of_counts")[k]), F.lit(0)) for k in range(DISCOUNTED + 1)]).first()
     discount = discounts(list(of))
     sums = pairs.where("kind = 1").select("firsts", "sums").mapInArrow(_first_parts(word_parts), "part int, firsts binary, sums array<binary>")
@@ -372,4 +379,4 @@ def score_documents(docs: DataFrame, held_fold: int = 1, folds: int = 5) -> Data
         .union(reply(weights, "weights", "weights", "denominators"))
         .union(reply(pairs.where("kind = 0"), "pairs", "counts", "seconds"))
     )
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_evaluate(discount, n_tokens, n_words, parts), _SCORES)
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_evaluate(discount, n_tokens, n_words, parts, hot_tokens), _SCORES)
