@@ -54,7 +54,7 @@ GRAM = 3
 _SENTINEL_KEY = 0
 
 
-def _template_words(text: str) -> list[str]:
+def template_words(text: str) -> list[str]:
     return re.findall(WORD_PATTERN, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
 
 
@@ -62,7 +62,7 @@ def template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataFr
     """Rows (tid, label, exact, n_grams, tpos, ta, tb, tc), and one row with tid -1 that the sentinel meets."""
     rows: list[tuple] = [(-1, None, None, None, None, None, None, None)]
     for tid, t in enumerate(templates):
-        w = _template_words(t.text)
+        w = template_words(t.text)
         if len(w) < GRAM:
             raise ValueError(f"a template needs {GRAM} words: {t.text!r}")
         rows += [(tid, t.label, t.exact, len(w) - GRAM + 1, k, *w[k : k + GRAM]) for k in range(len(w) - GRAM + 1)]

@@ -132,3 +132,28 @@ ORACLES["op9_jaccard_join"] = f"""
 WITH RECURSIVE {JACCARD_SQL}
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN component c USING (doc_id)"""
+
+
+def _license_sql() -> str:
+    rows = ",".join(
+        f"({k}, '{t.label}', {str(t.exact).lower()}, [{','.join(repr(w) for w in licenses.template_words(t.text))}])" for k, t in enumerate(licenses.TEMPLATES)
+    )
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+t(tid, label, exact, w) AS (VALUES {rows}),
+tg AS (SELECT tid, label, exact, len(w) - 2 AS n, i AS tpos, w[i + 1:i + 3] AS g FROM (SELECT *, unnest(range(0, len(w) - 2)) AS i FROM t)),
+dg AS (SELECT r, i AS pos, w[i + 1:i + 3] AS g FROM (SELECT r, w, unnest(range(0, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+m AS MATERIALIZED (SELECT r, tid, label, exact, n, tpos, pos - tpos AS diagonal FROM dg JOIN tg USING (g)),
+s AS (SELECT r, tid, diagonal, sum(CASE WHEN exact OR before IS NULL OR diagonal - before > 3 THEN 1 ELSE 0 END)
+          OVER (PARTITION BY r, tid ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span
+      FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, tid ORDER BY diagonal) AS before FROM (SELECT DISTINCT r, tid, exact, diagonal FROM m))),
+found AS (SELECT r, label, exact, min(diagonal) AS start, CAST(count(DISTINCT tpos) AS DOUBLE) / n AS covered
+      FROM m JOIN s USING (r, tid, diagonal) GROUP BY r, tid, label, exact, n, span
+      HAVING CASE WHEN exact THEN count(DISTINCT tpos) = n ELSE CAST(count(DISTINCT tpos) AS DOUBLE) / n >= 0.75 END)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word,
+       max(start) FILTER (exact) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(covered), 0.0) AS score
+FROM d LEFT JOIN found USING (r) GROUP BY r, doc_id, w"""
+
+
+ORACLES["op4_license_scan"] = _license_sql()
