@@ -28,6 +28,7 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, parallel_tasks
+from brindle.llm.common import materialize, parallel_tasks, scratch_path
 from brindle.llm.components import connected
 from brindle.llm.filters import holds, key_filter
 from brindle.llm.packed import mixed, pack, small, unpack
@@ -151,29 +152,29 @@ def sign_documents(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return table.where("kind = 0").select("doc_id", "n_shingles", "class"), levels.ravel()
 
 
-_MESSAGE = "part int, hot boolean, tokens binary, classes binary, sizes binary, index binary"
+_MESSAGE = "part int, hot boolean, tokens binary, classes binary, sizes binary, rests binary"
 
 
 def _post(sketch, parts: int, hot_level: int):
-    """Postings of the short lists, packed by partition. ``index``: the shingle is among those by which a class can be found by larger ones."""
+    """Postings of the short lists, packed by partition. ``rests``: how many of the class's shingles, in order of rarity, start with this one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, met = sketch.value, set()
-        tokens, classes, sizes, index = [], [], [], []
+        tokens, classes, sizes, rests = [], [], [], []
         held = 0
 
         def closed() -> pa.RecordBatch:
             token, cls = np.concatenate(tokens), np.repeat(np.array(classes, np.uint64), [len(t) for t in tokens])
             size = np.repeat(np.array(sizes, np.int64), [len(t) for t in tokens])
-            flag = np.concatenate(index)
+            rest = np.concatenate(rests)
             hot = levels[(token % np.uint64(COUNTERS)).astype(np.int64)] >= hot_level
             salt = np.where(hot, mixed(cls) % np.uint64(parts), np.uint64(0))
             part = (((token >> np.uint64(32)) + salt) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((token, hot, part))
-            part, hot, token, cls, size, flag = (x[order] for x in (part, hot, token, cls, size, flag))
+            part, hot, token, cls, size, rest = (x[order] for x in (part, hot, token, cls, size, rest))
             cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (hot[1:] != hot[:-1]), True]) if len(part) else np.zeros(1, np.int64)
-            rows = [(int(part[a]), bool(hot[a]), pack(token[a:b]), pack(cls[a:b]), pack(small(size[a:b])), pack(flag[a:b])) for a, b in zip(cuts, cuts[1:])]
-            for x in (tokens, classes, sizes, index):
+            rows = [(int(part[a]), bool(hot[a]), pack(token[a:b]), pack(cls[a:b]), pack(small(size[a:b])), pack(small(rest[a:b]))) for a, b in zip(cuts, cuts[1:])]
+            for x in (tokens, classes, sizes, rests):
                 x.clear()
             return _rows(_MESSAGE, list(zip(*rows, strict=True)) if rows else [[]] * 6)
 
@@ -192,7 +193,7 @@ def _post(sketch, parts: int, hot_level: int):
                 tokens.append(found[order])
                 classes.append(cls)
                 sizes.append(n)
-                index.append((np.arange(keep) < n - -(-6 * n // 7) + 1).astype(np.uint8))
+                rests.append(n - np.arange(keep))
                 held += keep
                 if held > _FLUSH:
                     yield closed()
@@ -203,13 +204,14 @@ def _post(sketch, parts: int, hot_level: int):
     return run
 
 
-def _pivots(cls: np.ndarray, size: np.ndarray, index: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """For one list, ordered by size: pivots and the members each is to be tested with, so that every member has one."""
+def _pivots(cls: np.ndarray, size: np.ndarray, rest: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For one list, ordered by size: pivots, and the members each is to be tested with; a member has one pivot at most."""
     out, a = [], 0
     while a < len(cls):
         end = int(np.searchsorted(size, size[a] * 100 // 75, side="right"))
-        if end - a > 1:
-            out.append((int(cls[a]), np.sort(cls[a + 1 : end])))
+        fit = np.minimum(rest[a], rest[a + 1 : end]) >= required(size[a], size[a + 1 : end])
+        if fit.any():
+            out.append((int(cls[a]), np.sort(cls[a + 1 : end][fit])))
         a = end
     return out
 
@@ -219,41 +221,57 @@ def heap_merge(lists: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(c, sum(1 for _ in same)) for c, same in groupby(heapq.merge(*[x.tolist() for x in lists]))]
 
 
-_FOUND = "kind int, token long, a long, b long, n long, indexed boolean, shared long"
+_FOUND = "kind int, token long, a long, b long, n long, rest long, shared long"
+
+
+def _signed_all(x) -> np.ndarray:
+    return np.asarray(x, np.uint64).view(np.int64)
 
 
 def _search(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    got = [[unpack(x) for x in (r.tokens, r.classes, r.sizes, r.index)] for t in tables for r in t.itertuples()]
+    got = [[unpack(x) for x in (r.tokens, r.classes, r.sizes, r.rests)] for t in tables for r in t.itertuples()]
     hot = bool(key[1])
-    token, cls, size, index = (np.concatenate([g[k] for g in got]) for k in range(4))
-    size = size.astype(np.int64)
+    token, cls, size, rest = (np.concatenate([g[k] for g in got]) for k in range(4))
+    size, rest = size.astype(np.int64), rest.astype(np.int64)
     order = np.lexsort((cls, size, token))
-    token, cls, size, index = token[order], cls[order], size[order], index[order]
+    token, cls, size, rest = token[order], cls[order], size[order], rest[order]
     new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
-    token, cls, size, index = token[new], cls[new], size[new], index[new]
+    token, cls, size, rest = token[new], cls[new], size[new], rest[new]
     lead = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[lead, len(token)])
-    # Shingles with the same members and flags are one list; those no member can be found by are none.
-    members = np.add.reduceat(mixed(cls + index), lead)
-    useful = (length > 1) & (np.add.reduceat(index.astype(np.int64), lead) > 0) | hot
-    _, first = np.unique(members[useful] if not hot else lead.astype(np.uint64), return_index=True)
     queries: dict[int, list[np.ndarray]] = {}
+    # Lists of two are one pair each, if their rests are long enough.
+    two = lead[length == 2] if not hot else lead[:0]
+    two = two[np.minimum(rest[two], rest[two + 1]) >= required(size[two], size[two + 1])]
+    order = np.lexsort((cls[two + 1], cls[two]))
+    a, b = cls[two][order], cls[two + 1][order]
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    pairs = [(a[starts], b[starts], np.diff(np.r_[starts, len(a)]))]
+    # Longer lists with the same members are one, with the longest rest of each member.
+    more = np.flatnonzero((length > 2) | hot)
+    alike: dict[bytes, list[int]] = {}
+    for k in more.tolist():
+        alike.setdefault(token[lead[k] : lead[k] + 1].tobytes() if hot else cls[lead[k] : lead[k] + length[k]].tobytes(), []).append(k)
     rows = []
-    for k in np.flatnonzero(useful)[first].tolist():
-        s = slice(lead[k], lead[k] + length[k])
-        for pivot, others in _pivots(cls[s], size[s], index[s]):
-            queries.setdefault(pivot, []).append(others)
-        rows.append(s)
-    pairs = [(p, c, n) for p, lists in queries.items() for c, n in heap_merge(lists)]
-    a, b = np.array([x[0] for x in pairs], np.uint64).view(np.int64), np.array([x[1] for x in pairs], np.uint64).view(np.int64)
-    yield pd.DataFrame({"kind": 0, "token": 0, "a": a, "b": b, "n": 0, "indexed": False, "shared": np.array([x[2] for x in pairs], np.int64)})
+    for lists in alike.values():
+        s = slice(lead[lists[0]], lead[lists[0]] + length[lists[0]])
+        longest = np.max([rest[lead[k] : lead[k] + length[k]] for k in lists], axis=0)
+        for pivot, others in _pivots(cls[s], size[s], longest):
+            queries.setdefault(pivot, []).extend([others] * len(lists))
+        # Only a member with so long a rest can be the smaller one of a pair.
+        if hot or (longest >= required(size[s], size[s])).any():
+            rows.append((token[s], cls[s], size[s], longest))
+    merged = [(p, c, n) for p, lists in queries.items() for c, n in heap_merge(lists)]
+    pairs.append(tuple(np.array([m[k] for m in merged], np.uint64) for k in range(3)))
+    a, b, n = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+    yield pd.DataFrame({"kind": 0, "token": 0, "a": _signed_all(a), "b": _signed_all(b), "n": 0, "rest": 0, "shared": n.astype(np.int64)})
     if rows:
-        take = np.concatenate([np.arange(s.start, s.stop) for s in rows])
-        yield pd.DataFrame({"kind": 1, "token": token[take].view(np.int64), "a": cls[take].view(np.int64), "b": 0, "n": size[take], "indexed": index[take] > 0, "shared": 0})
+        token, cls, size, rest = (np.concatenate([r[k] for r in rows]) for k in range(4))
+        yield pd.DataFrame({"kind": 1, "token": _signed_all(token), "a": _signed_all(cls), "b": 0, "n": size, "rest": rest, "shared": 0})
 
 
 def short_lists(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
-    """Kind 0: candidate pairs (a, b); kind 1: members (token, a, n, indexed) of all lists with several classes."""
+    """Kind 0: candidate pairs (a, b); kind 1: members (token, a, n, rest) of lists whose pairs are not all among them."""
     spark = docs.sparkSession
     parts = int(max(parallel_tasks(spark), total // 6_000_000))
     hot = max(HOT_COUNT, HOT_FACTOR * total // COUNTERS)
@@ -263,33 +281,40 @@ def short_lists(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
     return materialize(posted.groupBy("part", "hot").applyInPandas(_search, _FOUND), "lists", "kind")
 
 
-def _emit_sets(wanted):
+def _emit_sets(classes, ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, met = wanted.value, set()
+        schema = "class long, doc_id long, hashes binary"
         for batch in batches:
-            cls, sets, held = [], [], 0
-            for text in batch.column(0):
-                found = shingles(text.as_py())
-                c = _class_of(found) if len(found) else None
-                if c is None or c in met or not holds(bits, np.array([c], np.uint64))[0]:
-                    continue
-                met.add(c)
-                cls.append(_signed(c))
-                sets.append(found.tobytes())
-                held += found.nbytes
+            may = holds(ids.value, batch.column(0).fill_null(0).to_numpy().view(np.uint64))
+            rows, held = [], 0
+            for doc_id, wanted, text in zip(batch.column(0).to_pylist(), may, batch.column(1), strict=True):
+                found = shingles(text.as_py()) if wanted else ()
+                if len(found) and holds(classes.value, np.array([c := _class_of(found)], np.uint64))[0]:
+                    rows.append((_signed(c), doc_id or 0, found.tobytes()))
+                    held += found.nbytes
                 if held > 32_000_000:
-                    yield _rows("class long, hashes binary", [cls, sets])
-                    cls, sets, held = [], [], 0
-            yield _rows("class long, hashes binary", [cls, sets])
+                    yield _rows(schema, list(zip(*rows, strict=True)))
+                    rows, held = [], 0
+            if rows:
+                yield _rows(schema, list(zip(*rows, strict=True)))
 
     return run
 
 
-def class_sets(docs: DataFrame, active: DataFrame) -> DataFrame:
-    """(class, hashes) of the classes in ``active`` (column a), found through a filter of fixed size."""
-    wanted = key_filter(active, "a")
-    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_emit_sets(wanted), "class long, hashes binary")
-    return materialize(sets.dropDuplicates(["class"]), "sets")
+def class_sets(docs: DataFrame, active: DataFrame, total: int) -> DataFrame:
+    """(class, doc_id, hashes) of the classes in ``active`` (class, first_id), and some more. The row of a class is that of
+    its first id. Two filters of fixed size choose the texts; the table is bucketed, so that joins with it shuffle only
+    their other side."""
+    spark = docs.sparkSession
+    classes, ids = key_filter(active, "class"), key_filter(active, "first_id")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = narrow.mapInArrow(_emit_sets(classes, ids), "class long, doc_id long, hashes binary")
+    name = f"brindle_sets_{uuid.uuid4().hex}"
+    buckets = int(min(max(parallel_tasks(spark), total // 8_000_000), 100_000))
+    # One shuffle here leaves one file a bucket, and saves one in every later join.
+    writer = sets.repartition(buckets, "class", "doc_id").write.bucketBy(buckets, "class", "doc_id").option("path", scratch_path(spark, "sets"))
+    writer.format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def links_of(a: np.ndarray, b: np.ndarray) -> bool:
@@ -312,18 +337,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), good], ["a", "b", "linked"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, linked) of candidate pairs."""
-    x = sets.select(F.col("class").alias("a"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("class").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, linked boolean")
+    first = lambda c: classes.select(F.col("class").alias(c), F.col("first_id").alias(f"{c}_id"))
+    named = pairs.select("a", "b").join(first("a"), "a").join(first("b"), "b")
+    side = lambda c, v: sets.select(F.col("class").alias(c), F.col("doc_id").alias(f"{c}_id"), F.col("hashes").alias(v))
+    held = named.join(side("a", "x").hint("merge"), ["a", "a_id"]).join(side("b", "y").hint("merge"), ["b", "b_id"])
+    return held.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, linked boolean")
 
 
 def _fits(x: str, y: str) -> Column:
-    """Sizes allow a link, and the smaller set has the list's shingle among those it can be found by."""
-    nx, ny, ix, iy = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}indexed"), F.col(f"{y}indexed")
-    found = F.when(nx < ny, ix).when(ny < nx, iy).otherwise(ix | iy)
-    return (100 * F.least(nx, ny) >= 75 * F.greatest(nx, ny)) & found
+    """Sizes allow a link, and so do the shingles left from the list's on: if it is the rarest one shared, no more can be."""
+    nx, ny = f"{x}n", f"{y}n"
+    return F.expr(f"100 * least({nx}, {ny}) >= 75 * greatest({nx}, {ny}) and least({x}rest, {y}rest) >= (75 * ({nx} + {ny}) + 174) div 175")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -338,39 +364,43 @@ def _open_pairs(members: DataFrame, labels: DataFrame, turn: int, most: int | No
         known.groupBy("token")
         .agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("length"),
-            F.min_by(F.struct("a", "n", "label"), F.xxhash64("a", F.lit(turn))).alias("pivot"),
+            F.min_by(F.struct("a", "n", "rest", "label"), F.xxhash64("a", F.lit(turn))).alias("pivot"), F.mode("label", True).alias("major"),
         )
         .where("low <> high")
     )
-    spans = materialize(spans.select("token", "length", "pivot.*").toDF("token", "length", "p", "p_n", "p_label"), "spans")
+    spans = materialize(spans.select("token", "length", "major", "pivot.*").toDF("token", "length", "major", "p", "p_n", "p_rest", "p_label"), "spans")
     if spans.isEmpty():
         return None
-    every = spans.where("true" if most is None else f"length <= {most}").select("token")
-    mine = known.join(every, "token").select("token", "label", "a", *[F.col(c).alias(f"x_{c}") for c in ("n", "indexed")])
-    other = known.select("token", F.col("label").alias("o_label"), F.col("a").alias("b"), *[F.col(c).alias(f"y_{c}") for c in ("n", "indexed")])
-    pairs = mine.join(other, "token").where((F.col("label") < F.col("o_label")) & _fits("x_", "y_")).select("a", "b")
+    # One of a pair is outside the component that most members of the list are in.
+    every = spans.where("true" if most is None else f"length <= {most}").select("token", "major")
+    mine = known.join(every, "token").where("label <> major").select("token", "major", "label", "a", *[F.col(c).alias(f"x_{c}") for c in ("n", "rest")])
+    other = known.select("token", F.col("label").alias("o_label"), F.col("a").alias("b"), *[F.col(c).alias(f"y_{c}") for c in ("n", "rest")])
+    pairs = mine.join(other, "token").where(F.expr("label < o_label or o_label = major and label <> o_label") & _fits("x_", "y_")).select("a", "b")
     if most is not None:
         star = known.join(spans.where(f"length > {most}"), "token").where("label <> p_label")
-        pairs = pairs.union(star.where(100 * F.least("n", "p_n") >= 75 * F.greatest("n", "p_n")).select("a", F.col("p").alias("b")))
+        pairs = pairs.union(star.where(_fits("", "p_")).select("a", F.col("p").alias("b")))
     return _ordered(pairs)
 
 
 #: Lists of up to so many members have all their open pairs tested in the second, third, ... round; None: all lists.
-ROUNDS = (8, 32, 64, None)
+ROUNDS = (8, 32, None)
 
 
-def link_classes(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
+def link_classes(docs: DataFrame, levels: np.ndarray, classes: DataFrame, total: int) -> DataFrame:
     """(node, label) of all classes that link with another; the label is the smallest class of the component."""
+    classes = classes.select("class", F.coalesce("first_id", F.lit(0)).alias("first_id"))
     found = short_lists(docs, levels, total)
-    members = found.where("kind = 1").select("token", "a", "n", "indexed")
-    sets = class_sets(docs, members)
-    tested = materialize(verify(_ordered(found.where("kind = 0").select("a", "b")), sets), "tested")
+    pairs = materialize(_ordered(found.where("kind = 0").select("a", "b")), "pairs")
+    members = found.where("kind = 1").select("token", "a", "n", "rest")
+    active = members.select("a").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = class_sets(docs, active.join(classes, active.a == classes["class"]).select("class", "first_id"), total)
+    tested = materialize(verify(pairs, sets, classes), "tested")
     labels = connected(tested.where("linked"))
     for turn, most in enumerate(ROUNDS):
         pairs = _open_pairs(members, labels, turn, most)
         if pairs is None:
             break
-        fresh = materialize(verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets), "tested")
+        fresh = materialize(verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, classes), "tested")
         tested = tested.union(fresh)
         if not fresh.where("linked").isEmpty():
             labels = connected(tested.where("linked"))
@@ -383,7 +413,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
     classes = materialize(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    labels = materialize(link_classes(docs, levels, total).withColumnRenamed("node", "class"), "labels")
+    labels = materialize(link_classes(docs, levels, classes, total).withColumnRenamed("node", "class"), "labels")
     linked = labels.join(classes, "class")
     least = linked.groupBy("label").agg(F.min("first_id").alias("least_id"))
     named = materialize(
