@@ -1,4 +1,4 @@
-"""A membership filter of fixed size, and dropping rows by key without moving the rows that stay."""
+"""A membership filter of fixed size, and a split of rows by it that moves none."""
 
 from __future__ import annotations
 
@@ -47,12 +47,3 @@ def split_rows(df: DataFrame, key: Column, filter_bits) -> tuple[DataFrame, Data
         return pd.Series(found & keys.notna().to_numpy())
 
     return df.where(~may(key)), df.where(may(key))
-
-
-def drop_keys(df: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
-    """``df`` without the rows whose key is in ``dropped`` (one long column, a written table)."""
-    (name,) = dropped.columns
-    sure, rest = split_rows(df, key, key_filter(dropped, name))
-    held = rest.withColumn("_brindle_key", key)
-    kept = held.join(dropped.select(F.col(name).alias("_brindle_key")).distinct(), "_brindle_key", "left_anti")
-    return sure.union(kept.select(*[F.col(f"`{c}`") for c in df.columns]))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import decontamination, jaccard, packing, quality
 from brindle.llm.common import materialize
-from brindle.llm.filters import drop_keys, key_filter, split_rows
+from brindle.llm.filters import key_filter, split_rows
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; DataFrame functions only. Spark broadcasts the keys of those that
+    go if the written table is small, else it shuffles."""
     key = F.xxhash64("doc_id", "text")  # tells rows apart even if ids repeat or are null
     found = decontamination.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return drop_keys(docs, key, materialize(found.where("contaminated").select("doc_id"), "contaminated"))
+    dropped = materialize(found.where("contaminated").select(F.col("doc_id").alias("_brindle_key")), "contaminated")
+    return docs.withColumn("_brindle_key", key).join(dropped, "_brindle_key", "left_anti").drop("_brindle_key")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
