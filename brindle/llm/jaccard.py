@@ -46,8 +46,8 @@ from brindle.llm.packed import mixed, pack, small, unpack
 
 WIDTH = 5
 #: Counters of the sketch, a byte each when broadcast.
-COUNTERS = 1 << 22
-_BLOCKS = 64
+COUNTERS = 1 << 24
+_BLOCKS = 256
 #: A shingle of which a sketch counter holds this much, and this many times the mean, has its list split.
 HOT_COUNT, HOT_FACTOR = 1_000_000, 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -104,12 +104,12 @@ _SIGNED = "kind int, doc_id long, n_shingles long, class long, block int, counts
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
+    counts = np.zeros(COUNTERS, np.uint32)
     held, size = [], 0
 
     def flush() -> None:
         if held:
-            counts[:] += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            np.add.at(counts, (np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
             held.clear()
 
     for batch in batches:
@@ -129,7 +129,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if counts.any():
         blocks = counts.reshape(_BLOCKS, -1)
         blank = [None] * _BLOCKS
-        yield _rows(_SIGNED, [[1] * _BLOCKS, blank, blank, blank, list(range(_BLOCKS)), [pack(small(b)) for b in blocks]])
+        yield _rows(_SIGNED, [[1] * _BLOCKS, blank, blank, blank, list(range(_BLOCKS)), [pack(b) for b in blocks]])
 
 
 def _merge_counts(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,6 +216,17 @@ def _pivots(cls: np.ndarray, size: np.ndarray, rest: np.ndarray) -> list[tuple[i
     return out
 
 
+def _paired(size: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Which members of one list may link with another by it; of a long list, all if any may."""
+    if len(size) > 256:
+        # Only a member with so long a rest can be the smaller one of a pair.
+        return np.full(len(size), (rest >= required(size, size)).any())
+    low, high = np.minimum.outer(size, size), np.maximum.outer(size, size)
+    fit = (100 * low >= 75 * high) & (np.minimum.outer(rest, rest) >= required(size[:, None], size[None, :]))
+    np.fill_diagonal(fit, False)
+    return fit.any(axis=1)
+
+
 def heap_merge(lists: list[np.ndarray]) -> list[tuple[int, int]]:
     """Members of sorted lists, each with the number of lists that hold it."""
     return [(c, sum(1 for _ in same)) for c, same in groupby(heapq.merge(*[x.tolist() for x in lists]))]
@@ -258,9 +269,9 @@ def _search(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         longest = np.max([rest[lead[k] : lead[k] + length[k]] for k in lists], axis=0)
         for pivot, others in _pivots(cls[s], size[s], longest):
             queries.setdefault(pivot, []).extend([others] * len(lists))
-        # Only a member with so long a rest can be the smaller one of a pair.
-        if hot or (longest >= required(size[s], size[s])).any():
-            rows.append((token[s], cls[s], size[s], longest))
+        keep = np.ones(len(longest), bool) if hot else _paired(size[s], longest)
+        if keep.any():
+            rows.append((token[s][keep], cls[s][keep], size[s][keep], longest[keep]))
     merged = [(p, c, n) for p, lists in queries.items() for c, n in heap_merge(lists)]
     pairs.append(tuple(np.array([m[k] for m in merged], np.uint64) for k in range(3)))
     a, b, n = (np.concatenate([p[k] for p in pairs]) for k in range(3))
