@@ -12,8 +12,8 @@ table, each chunk asking only for its distinct words and word pairs:
    A partition adds up the counts and answers; it also sums up, per first word,
    what backoff weights need, as integers.
 3. These sums meet by first word. With the Good-Turing discounts (from the counts
-   of counts of all partitions, a few numbers) they give exactly normalised
-   backoff weights, and each chunk gets those of its words.
+   of counts of all partitions, a few numbers, smoothed by a log-linear fit) they
+   give exactly normalised backoff weights, and each chunk gets those of its words.
 4. Each chunk evaluates every distinct pair by the recursion: a seen pair has its
    discounted relative frequency, any other the backoff weight of its first word
    times the probability of the second, a unigram with 0.5 added to each count and
@@ -269,16 +269,29 @@ def pair_table(chunks: DataFrame, words: DataFrame, total: int, hot_tokens: int
     return materialize(asked.groupBy("part").applyInPandas(_count_pairs, _PAIR_ROWS), "pairs", "kind"), parts
 
 
+def smoothed(of: list[int]) -> float | None:
+    """Slope of the log-linear fit of n_r on r, as in Simple Good-Turing: each n_r that is not 0 is spread over the gap
+    between its neighbours. None if the fit does not fall faster than 1 / r, or rests on one point."""
+    n = np.array(of, np.float64)
+    r = np.flatnonzero(n) + 1
+    if len(r) < 2:
+        return None
+    before, after = np.r_[0, r[:-1]], np.r_[r[1:], 2 * r[-1] - r[-2]]
+    x, y = np.log(r), np.log(2 * n[r - 1] / (after - before))
+    slope = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+    return slope if slope < -1 - 1e-9 else None
+
+
 def discounts(of: list[int]) -> np.ndarray:
     """Good-Turing discounts of the counts 1 to DISCOUNTED (index 0 unused), from the numbers of pairs that occur
-    1, 2, ... times. Where these do not give values inside (0, 1), an absolute discount takes their place."""
-    n = np.array([0, *of], np.float64)
+    1, 2, ... times, smoothed: groups of copies make the raw ones jump, and a slope below -1 gives values inside (0, 1).
+    Where there is no such slope, an absolute discount takes their place."""
     r = np.arange(1, DISCOUNTED + 1)
-    with np.errstate(all="ignore"):
-        common = (DISCOUNTED + 1) * n[DISCOUNTED + 1] / n[1]
-        d = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common)
-    if not np.all(np.isfinite(d) & (d > 0) & (d < 1)):
-        d = (r - (n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5) * 0.999) / r
+    if (slope := smoothed(of)) is not None:
+        common = float(DISCOUNTED + 1) ** (slope + 1)
+        d = ((1 + 1 / r) ** (slope + 1) - common) / (1 - common)
+    else:
+        d = (r - (of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5) * 0.999) / r
     return np.r_[0.0, d]
 
 

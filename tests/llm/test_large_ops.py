@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import statistics
 import zlib
 from collections import Counter, defaultdict
 
@@ -223,6 +224,44 @@ def test_katz(spark, chunk):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def smooth_discounts(bigrams):
+    """Good-Turing discounts after a straight line through log n_r, by another route than the library's."""
+    n = Counter(c for c in bigrams.values() if c <= 6)
+    r = sorted(n)
+    z = [n[k] / (0.5 * ([*r, 2 * k - r[-2]][i + 1] - [0, *r][i])) for i, k in enumerate(r)]
+    line = statistics.linear_regression([math.log(k) for k in r], [math.log(v) for v in z])
+    e = lambda k: math.exp(line.intercept + line.slope * math.log(k))
+    star = lambda k: (k + 1) * e(k + 1) / e(k)
+    return [(star(k) / k - 6 * e(6) / e(1)) / (1 - 6 * e(6) / e(1)) for k in range(1, 6)]
+
+
+def test_katz_discounts_with_groups_of_copies(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.8)) % 900}" for _ in range(40))
+    texts = [text() for _ in range(200)] + [t for t in (text() for _ in range(12)) for _ in range(5)]
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 != 1]
+    docs = [*zip(ids, texts)] + [(k, text()) for k in range(400, 430)]
+    train = [katz.tokens(t) for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
+    bigrams = Counter(p for t in train for p in zip([katz.START, *t[:-1]], t))
+    n = [sum(c == r for c in bigrams.values()) for r in range(1, 7)]
+    common = 6 * n[5] / n[0]
+    raw = [((r + 1) * n[r] / n[r - 1] / r - common) / (1 - common) for r in range(1, 6)]
+    assert not all(0 < d < 1 for d in raw)  # the copies' pairs occur five times
+    want = smooth_discounts(bigrams)
+    assert all(0 < d < 1 for d in want) and want == sorted(want)
+    assert katz.discounts(n)[1:] == pytest.approx(want, rel=1e-9)
+    brute = brute_katz(docs)
+    for r in katz.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.score == pytest.approx(brute[r.doc_id][5], rel=1e-9)
+
+
+def test_katz_discounts_of_given_tables():
+    # counts of counts of sf0.1's training bigrams; d4 of the raw formula is 1.106
+    assert all(0 < d < 1 for d in katz.discounts([1482341, 227973, 46941, 19718, 17404, 6993])[1:]) and katz.smoothed([1482341, 227973, 46941, 19718, 17404, 6993]) < -1
+    for of in ([0] * 6, [0, 0, 0, 0, 9, 0], [9, 0, 0, 0, 90, 0], [5, 4, 3, 3, 3, 3], [7, 0, 0, 0, 0, 0]):  # no slope: the named fallback
+        assert katz.smoothed(of) is None and all(0 < d < 1 for d in katz.discounts(of)[1:])
+
+
 def test_katz_edges(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "x y")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in katz.score_documents(df).collect()) == [3, 3, 3]
