@@ -4,15 +4,15 @@ Quality classifier (rejected documents go), n-gram Jaccard join (one document of
 each group stays), benchmark decontamination (documents with benchmark passages
 go), best-fit packing (the result: one row per piece with its sequence).
 
-Rows whose id is null cannot be named by a group, so the second stage keeps them;
-rows that repeat an id count as copies there. Whatever stays is never moved or
-changed by a filtering stage, and keeps all columns of ``documents``.
+Rows are told apart by a hash of id and text, so ids may repeat or be null; rows
+equal in both count as copies of each other in the second stage. Whatever stays is
+never changed by a filtering stage, and keeps all columns of ``documents``.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import decontamination, jaccard, packing, quality
@@ -25,24 +25,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _row_key() -> Column:
+    """Tells rows apart even if ids repeat or are null."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
-    found = materialize(jaccard.jaccard_components(docs), "components")
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(
-        F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("_brindle_copy"), F.count(F.lit(1)).alias("n")
-    )
-    # Only rows that may go, or whose id repeats, are moved.
-    touched = materialize(ids.where("_brindle_copy or n > 1").select(F.col("doc_id").alias("_brindle_id"), "_brindle_copy"), "copies")
-    sure, rest = split_rows(docs, F.col("doc_id"), key_filter(touched, "_brindle_id"))
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    rest = rest.join(touched, F.col("doc_id") == F.col("_brindle_id"), "left").withColumn("_brindle_n", F.row_number().over(first))
-    return sure.union(rest.where("not coalesce(_brindle_copy, false) and (_brindle_n = 1 or _brindle_id is null)").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    """One row, that with the smallest id (a null one is last), of each group of near copies."""
+    found = materialize(jaccard.jaccard_components(docs.select(_row_key().alias("doc_id"), "text")), "components")
+    keys = found.groupBy(F.col("doc_id").alias("_brindle_row")).agg(F.min("component_id").alias("_brindle_group"), F.count(F.lit(1)).alias("n"))
+    copies = keys.where("_brindle_row <> _brindle_group or n > 1").select("_brindle_row", "_brindle_group")
+    # Only rows of groups, or that are equal to another, are moved.
+    touched = materialize(copies.union(copies.select("_brindle_group", "_brindle_group")).distinct(), "copies")
+    sure, rest = split_rows(docs.withColumn("_brindle_key", _row_key()), F.col("_brindle_key"), key_filter(touched, "_brindle_row"))
+    named = rest.select("doc_id", "_brindle_key").join(touched, F.col("_brindle_key") == F.col("_brindle_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_brindle_row").alias("row"))
+    stay = named.groupBy("_brindle_group").agg(F.min(order)["row"].alias("_brindle_row"))
+    gone = materialize(touched.join(stay, "_brindle_row", "left_anti").select(F.col("_brindle_row").alias("_brindle_key")), "gone")
+    rest = rest.join(gone, "_brindle_key", "left_anti")
+    equal = F.row_number().over(Window.partitionBy("_brindle_key").orderBy(F.lit(1)))
+    rest = rest.withColumn("_brindle_n", equal).where("_brindle_n = 1")
+    return sure.drop("_brindle_key").union(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item; DataFrame functions only. Spark broadcasts the keys of those that
     go if the written table is small, else it shuffles."""
-    key = F.xxhash64("doc_id", "text")  # tells rows apart even if ids repeat or are null
+    key = _row_key()
     found = decontamination.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dropped = materialize(found.where("contaminated").select(F.col("doc_id").alias("_brindle_key")), "contaminated")
     return docs.withColumn("_brindle_key", key).join(dropped, "_brindle_key", "left_anti").drop("_brindle_key")

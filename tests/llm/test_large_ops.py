@@ -355,3 +355,19 @@ def test_pipeline(spark, tmp_path):
     assert last.where("piece = 0").count() == third.count()
     assert corpus_pipeline.run(spark, folder).count() == last.count()
     assert public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rng = random.Random(4)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6))
+    rows = [
+        (1, a), (2, a), (2, b),  # one row of id 2 is a copy, the other is not
+        (5, c), (5, d), (9, d),  # id 5 holds two texts and leads the group of d
+        (7, e), (7, e), (None, e), (None, f), (None, f),
+        (20, ""), (21, None), (22, ""),
+    ]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n long")
+    got = corpus_pipeline.near_duplicate_stage(spark, df, "")
+    assert got.columns == df.columns
+    want = [(1, a), (2, b), (5, c), (5, d), (7, e), (None, f), (20, ""), (21, None), (22, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
