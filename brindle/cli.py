@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from brindle.plans.statements import execute, render, run_script
+from brindle.plans.statements import execute, render, run_script, save
 from brindle.plans.workspace import Workspace
 from brindle.session import build_session
 
@@ -25,14 +25,21 @@ def options(args: Sequence[str] | None = None) -> argparse.Namespace:
     what.add_argument("-f", "--file", help="run a script")
     what.add_argument("-q", "--query", help="run one statement")
     what.add_argument("-r", "--repl", action="store_true", help="interactive session")
-    return p.parse_args(args)
+    p.add_argument("-o", "--output", help="with -q: write all rows there (a folder of CSV files if it ends in .csv, else Parquet)")
+    o = p.parse_args(args)
+    if o.output and not o.query:
+        p.error("--output needs --query")
+    return o
 
 
-def _show(result) -> None:
+def _show(result, output: str | None = None) -> None:
     if isinstance(result, DataFrame):
-        print(render(result))
-    elif result:
+        print(save(result, output) if output else render(result))
+        return
+    if result:
         print("\n".join(result))
+    if output:
+        print("(no rows to write)")
 
 
 def meta(ws: Workspace, line: str) -> bool:
@@ -97,7 +104,7 @@ def main(args: Sequence[str] | None = None) -> int:
             return int(run_script(ws, f.read()) > 0)
     if o.query:
         try:
-            _show(execute(ws, o.query))
+            _show(execute(ws, o.query), o.output)
         except Exception as e:
             print(f"{type(e).__name__}: {str(e).splitlines()[0]}", file=sys.stderr)
             return 1

@@ -1,7 +1,7 @@
 import pytest
 
 from brindle import cli
-from brindle.plans.statements import execute
+from brindle.plans.statements import execute, render
 from brindle.plans.workspace import Workspace
 
 
@@ -23,3 +23,16 @@ def test_session(spark, tmp_path, monkeypatch, capsys):
     cli.repl(w)
     out = capsys.readouterr().out
     assert "a (2 columns)" in out and "x INT PRIMARY KEY" in out and "AnalysisException" in out and "(1 rows)" in out
+
+
+def test_cut_results_say_so_and_whole_ones_can_be_written(spark, tmp_path, monkeypatch, capsys):
+    assert render(spark.range(3), most=2).splitlines()[-1] == "(the first 2 rows; there are more)"
+    assert render(spark.range(2), most=2).splitlines()[-1] == "(2 rows)"
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    query = ["--data", str(tmp_path / "d"), "-q", "SELECT id FROM range(1500)"]
+    assert cli.main(query) == 0 and "(the first 1000 rows; there are more)" in capsys.readouterr().out
+    for name, read in (("t", spark.read.parquet), ("t.csv", lambda p: spark.read.csv(p, header=True))):
+        assert cli.main([*query, "-o", str(tmp_path / name)]) == 0
+        assert read(str(tmp_path / name)).count() == 1500
+    with pytest.raises(SystemExit):
+        cli.options(["--repl", "-o", "x"])
