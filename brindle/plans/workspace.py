@@ -153,25 +153,31 @@ class Workspace:
     def import_csv(self, name: str, path: str) -> None:
         """A table from a CSV file: integers or texts by what the columns hold, a unique ``id`` being the key."""
         texts = csv.read_text(self.spark, path)
+        copy_path = self.catalog.new_snapshot(name)  # the file's rows are read once, all else uses this table
+        numbered = texts.withColumn(ROW_ID, F.monotonically_increasing_id())
+        numbered.write.parquet(copy_path)
+        numbered = self.spark.read.schema(numbered.schema).parquet(copy_path)
+        texts = numbered.drop(ROW_ID)
         types = csv.infer_types(texts)
         t = Table(name, [Column(c, str(kind)) for c, kind in types.items()])
-        typed = self._typed(t, texts, texts.columns)
+        typed = self._typed(t, numbered, texts.columns, [ROW_ID])
         if "id" in texts.columns and typed.where("id is null").isEmpty() and violations.duplicate_keys(typed, "id").isEmpty():
             t.primary_key = ["id"]
-        self._commit(t, typed.withColumn(ROW_ID, F.monotonically_increasing_id()))
+        self._commit(t, typed)
 
     def export_csv(self, name: str, path: str) -> None:
         csv.write_text(self._stored(self.catalog.get(name)).orderBy(ROW_ID).drop(ROW_ID), path)
 
-    def _typed(self, t: Table, rows: DataFrame, names: Sequence[str]) -> DataFrame:
-        """``rows``, whatever their types, as columns of the table; a value that its type rejects is an error."""
-        texts = rows.toDF(*names).select(*[F.col(c).cast("string").alias(c) for c in names])
+    def _typed(self, t: Table, rows: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+        """``rows``, whatever their types, as columns of the table, then those to ``keep``; a value that its type rejects
+        is an error."""
+        texts = rows.toDF(*names, *keep).select(*[F.col(c).cast("string").alias(c) for c in names], *keep)
         bad = texts.agg(*[F.count_if(t.column(c).logical.rejects(F.col(c))).alias(c) for c in names]).first()
         for c in names:
             if bad[c]:
                 raise ConstraintError(f"{t.name}: {c} has {bad[c]} values that are not {t.column(c).type}")
         given = {t.column(c).name: t.column(c).logical.value(F.col(c)) for c in names}
-        return texts.select(*[given.get(c.name, F.lit(None)).cast(c.logical.spark).alias(c.name) for c in t.columns])
+        return texts.select(*[given.get(c.name, F.lit(None)).cast(c.logical.spark).alias(c.name) for c in t.columns], *keep)
 
     def insert(self, name: str, rows: DataFrame | Sequence[Sequence[Any]], columns: Sequence[str] | None = None) -> None:
         t = copy.deepcopy(self.catalog.get(name))

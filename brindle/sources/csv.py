@@ -8,14 +8,24 @@ from pyspark.sql import types as T
 
 from brindle.functions.types import LogicalType
 
-_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST", "enforceSchema": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_OPTIONS = {"header": True, "quote": '"', "escape": '"', "mode": "FAILFAST", "enforceSchema": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def plain_lines(spark: SparkSession, path: str) -> bool:
+    """Whether every line is surely a row: where a quoted field goes on, its first line has an odd number of quotes.
+    Carriage returns and lines of blanks alone, which the readers take differently, count as doubt."""
+    line = F.col("value")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    return spark.read.text(path, lineSep="\n").where(odd | line.contains("\r") | line.rlike(r"^\s+$")).isEmpty()
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text; a row with too many or too few fields fails the read."""
-    header = spark.read.options(**_OPTIONS).csv(path).columns
+    """Every column as text; a row with too many or too few fields fails the read. Files of plain lines are split
+    among tasks, others are read by one task each."""
+    options = _OPTIONS | {"multiLine": not plain_lines(spark, path)}
+    header = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(c.lstrip("﻿"), T.StringType()) for c in header])
-    return spark.read.options(**_OPTIONS).schema(schema).csv(path)
+    return spark.read.options(**options).schema(schema).csv(path)
 
 
 def infer_types(texts: DataFrame) -> dict[str, LogicalType]:

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import DataFrame
 
 from brindle.plans.statements import StatementError, execute, parts, run_script, script_statements
-from brindle.plans.workspace import ConstraintError, Workspace
+from brindle.plans.workspace import ROW_ID, ConstraintError, Workspace
+from brindle.sources import csv
 from brindle.sources.catalog import Column
 
 
@@ -106,6 +107,29 @@ def test_csv_round_trip(ws):
     assert [r.id for r in ws.first_rows("copy", ["state"]).where("state = 'ok'").collect()] == [1]
 
 
+def test_csv_is_split_and_read_once(ws, spark, tmp_path, monkeypatch):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text("id,note\n" + "".join(f'{k},"a ""b"", {k}"\n' for k in range(2000)))
+    broken.write_text('id,note\n1,"two\nlines"\n2,x\n')
+    crlf, blank = tmp_path / "crlf.csv", tmp_path / "blank.csv"
+    crlf.write_bytes(b"id,note\r\n1,x\r\n2,y\r\n")
+    blank.write_text("note\n  \nx\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert csv.read_text(spark, str(plain)).rdd.getNumPartitions() > 1
+        infer = csv.infer_types
+        monkeypatch.setattr(csv, "infer_types", lambda texts: (plain.unlink(), infer(texts))[1])
+        ws.import_csv("plain", str(plain))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    monkeypatch.undo()
+    assert sorted(rows(ws, "plain", "id", "note")) == [(k, f'a "b", {k}') for k in range(2000)]
+    assert [r.id for r in ws._stored(ws.catalog.get("plain")).orderBy(ROW_ID).collect()] == list(range(2000))
+    for path, want in ((broken, [("1", "two\nlines"), ("2", "x")]), (crlf, [("1", "x"), ("2", "y")]), (blank, [("  ",), ("x",)])):
+        assert sorted(tuple(r) for r in csv.read_text(spark, str(path)).collect()) == want
+
+
 def test_splitting():
     assert list(parts("a, f(b, c), 'd, e'", ",")) == ["a", "f(b, c)", "'d, e'"]
     text = "select 1; -- a;b\n/* x;\n */ select\n 'a;''b';\n;select 2"
