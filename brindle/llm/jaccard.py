@@ -43,6 +43,7 @@ from brindle.llm.common import materialize, parallel_tasks, scratch_path
 from brindle.llm.components import connected
 from brindle.llm.filters import holds, key_filter
 from brindle.llm.packed import mixed, pack, small, unpack
+from brindle.llm.spaced import word_hashes
 
 WIDTH = 5
 #: Counters of the sketch, a byte each when broadcast.
@@ -51,29 +52,15 @@ _BLOCKS = 256
 #: A shingle of which a sketch counter holds this much, and this many times the mean, has its list split.
 HOT_COUNT, HOT_FACTOR = 1_000_000, 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_HELD_WORDS, _FLUSH = 500_000, 2_000_000
-
-
-class _Hashes(dict):
-    """Hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < _HELD_WORDS and len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_WORDS = _Hashes()
+_FLUSH = 2_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's five-word shingles."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
+    h = word_hashes((text or "").encode())
+    n = len(h)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
     width = min(n, WIDTH)
     total = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
