@@ -1,4 +1,4 @@
-"""Command line: run a script, one statement, or an interactive session over a folder of tables."""
+"""Command line: run a script, statements, or an interactive session over a folder of tables."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from brindle.plans.statements import execute, render, run_script, save
+from brindle.plans.statements import execute, execute_all, render, run_script, save
 from brindle.plans.workspace import Workspace
 from brindle.session import build_session
 
-HELP = ".help  .tables  .schema [table]  .run FILE  .clear  .quit"
+HELP = ".help  .tables  .schema [table]  .open FOLDER (of CSV files)  .run FILE  .clear  .quit"
 
 
 def options(args: Sequence[str] | None = None) -> argparse.Namespace:
@@ -23,7 +23,7 @@ def options(args: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("--data", default="data", help="folder of the tables")
     what = p.add_mutually_exclusive_group()
     what.add_argument("-f", "--file", help="run a script")
-    what.add_argument("-q", "--query", help="run one statement")
+    what.add_argument("-q", "--query", help="run one or more statements")
     what.add_argument("-r", "--repl", action="store_true", help="interactive session")
     p.add_argument("-o", "--output", help="with -q: write all rows there (a folder of CSV files if it ends in .csv, else Parquet)")
     o = p.parse_args(args)
@@ -34,7 +34,8 @@ def options(args: Sequence[str] | None = None) -> argparse.Namespace:
 
 def _show(result, output: str | None = None) -> None:
     if isinstance(result, DataFrame):
-        print(save(result, output) if output else render(result))
+        for line in [save(result, output)] if output else render(result):
+            print(line)
         return
     if result:
         print("\n".join(result))
@@ -53,6 +54,8 @@ def meta(ws: Workspace, line: str) -> bool:
         for t in [ws.catalog.get(rest)] if rest else ws.catalog.tables.values():
             marks = lambda c: " ".join(x for x, on in (("PRIMARY KEY", c.name in t.primary_key), ("NOT NULL", c.not_null), ("UNIQUE", c.unique), (f"REFERENCES {c.references}", c.references), (f"CHECK ({c.check})", c.check)) if on)  # noqa: E731, B023
             print(t.name, *[f"  {c.name} {c.type} {marks(c)}".rstrip() for c in t.columns], *[f"  CHECK ({x})" for x in t.checks], sep="\n")
+    elif word == ".open":
+        print("\n".join(ws.import_folder(rest)) or "(no new table)")
     elif word == ".run":
         with open(rest, encoding="utf-8") as f:
             run_script(ws, f.read())
@@ -86,7 +89,8 @@ def repl(ws: Workspace) -> None:
         held += line + "\n"
         if line.rstrip().endswith(";"):
             try:
-                _show(execute(ws, held))
+                for result in execute_all(ws, held):
+                    _show(result)
             except Exception as e:  # shown, and the session goes on
                 print(f"{type(e).__name__}: {str(e).splitlines()[0]}")
             held = ""
@@ -104,7 +108,11 @@ def main(args: Sequence[str] | None = None) -> int:
             return int(run_script(ws, f.read()) > 0)
     if o.query:
         try:
-            _show(execute(ws, o.query), o.output)
+            if o.output:
+                _show(execute(ws, o.query), o.output)
+            else:
+                for result in execute_all(ws, o.query):
+                    _show(result)
         except Exception as e:
             print(f"{type(e).__name__}: {str(e).splitlines()[0]}", file=sys.stderr)
             return 1

@@ -20,6 +20,11 @@ def join_star(left: DataFrame, right: DataFrame, names: tuple[str, str], on: Col
     return joined.select(*qualified((names[0], a), (names[1], b)))
 
 
+def joined(left: DataFrame, right: DataFrame, on: Column, how: str, semantics: str = "ansi") -> DataFrame:
+    """A join; under compat a right join keeps the left rows without a match too."""
+    return left.join(right, on, "full" if how == "right" and semantics == "compat" else how)
+
+
 def hinted(left: DataFrame, right: DataFrame, on: Column, algorithm: str, how: str = "inner") -> DataFrame:
     """A join by a named algorithm; without a hint Spark chooses by size."""
     return left.join(right.hint(HINTS[algorithm]), on, how)

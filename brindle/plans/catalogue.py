@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import aggregates, joins, ordering, violations
+from brindle.plans.statements import execute
+from brindle.plans.workspace import Workspace
+from brindle.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,10 +45,10 @@ def join_inner_multi(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM nation"""
+    """SELECT * FROM customer"""
 )
 def scan_star(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation")
+    return table(spark, d, "customer")
 
 
 @query(
@@ -83,11 +87,11 @@ def filter_in_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM nation WHERE n_nationkey NOT IN (9, 10)"""
+    """SELECT * FROM customer WHERE c_nationkey NOT IN (9, 10)"""
 )
 def filter_not_in_list(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    return n.where(~n.n_nationkey.isin(9, 10))
+    c = table(spark, d, "customer")
+    return c.where(~c.c_nationkey.isin(9, 10))
 
 
 @query(
@@ -99,11 +103,11 @@ def filter_timestamp(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_nationkey FROM nation WHERE n_regionkey <> 0"""
+    """SELECT c_custkey FROM customer WHERE c_nationkey <> 0"""
 )
 def filter_truthy(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    return n.where(n.n_regionkey.cast("boolean")).select("n_nationkey")
+    c = table(spark, d, "customer")
+    return c.where(c.c_nationkey.cast("boolean")).select("c_custkey")
 
 
 @query(
@@ -123,11 +127,11 @@ def filter_point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM nation WHERE 1 = 0 OR n_nationkey = 3"""
+    """SELECT * FROM orders WHERE 1 = 0 OR o_custkey = 3"""
 )
 def constant_folding(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    return n.where((F.lit(1) == 0) | (n.n_nationkey == 3))
+    o = table(spark, d, "orders")
+    return o.where((F.lit(1) == 0) | (o.o_custkey == 3))
 
 
 @query(
@@ -152,10 +156,10 @@ def order_unselected_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM nation LIMIT 0"""
+    """SELECT * FROM orders LIMIT 0"""
 )
 def limit_zero(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").limit(0)
+    return table(spark, d, "orders").limit(0)
 
 
 @query(
@@ -200,7 +204,7 @@ def join_right(spark: SparkSession, d: str) -> DataFrame:
 )
 def join_right_compat(spark: SparkSession, d: str) -> DataFrame:
     n, s = table(spark, d, "nation").where("n_regionkey = 1"), table(spark, d, "supplier").where("s_acctbal > 5000")
-    return n.join(s, n.n_nationkey == s.s_nationkey, "full").select("n_name", "s_name")
+    return joins.joined(n, s, n.n_nationkey == s.s_nationkey, "right", "compat").select("n_name", "s_name")
 
 
 @query(
@@ -212,27 +216,27 @@ def join_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT r_name, n_name FROM region CROSS JOIN nation"""
+    """SELECT r_name, s_name FROM region CROSS JOIN supplier"""
 )
 def join_cross(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "region").crossJoin(table(spark, d, "nation")).select("r_name", "n_name")
+    return table(spark, d, "region").crossJoin(table(spark, d, "supplier")).select("r_name", "s_name")
 
 
 @query(
-    """SELECT n.n_nationkey AS n_n_nationkey, n.n_name AS n_n_name, n.n_regionkey AS n_n_regionkey, r.r_regionkey AS r_r_regionkey, r.r_name AS r_r_name
-    FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"""
+    """SELECT s.s_suppkey AS s_s_suppkey, s.s_name AS s_s_name, s.s_nationkey AS s_s_nationkey, s.s_acctbal AS s_s_acctbal,
+    n.n_nationkey AS n_n_nationkey, n.n_name AS n_n_name, n.n_regionkey AS n_n_regionkey FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey"""
 )
 def join_star(spark: SparkSession, d: str) -> DataFrame:
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return joins.join_star(n, r, ("n", "r"), F.col("n.n_regionkey") == F.col("r.r_regionkey"))
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    return joins.join_star(s, n, ("s", "n"), F.col("s.s_nationkey") == F.col("n.n_nationkey"))
 
 
 @query(
-    """SELECT r_name, n_name FROM region JOIN nation ON r_regionkey < n_regionkey"""
+    """SELECT r_name, s_name FROM region JOIN supplier ON r_regionkey < s_nationkey"""
 )
 def join_theta(spark: SparkSession, d: str) -> DataFrame:
-    r, n = table(spark, d, "region"), table(spark, d, "nation")
-    return r.join(n, r.r_regionkey < n.n_regionkey).select("r_name", "n_name")
+    r, s = table(spark, d, "region"), table(spark, d, "supplier")
+    return r.join(s, r.r_regionkey < s.s_nationkey).select("r_name", "s_name")
 
 
 @query(
@@ -244,12 +248,12 @@ def join_composite(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"""
+    """SELECT a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey"""
 )
 def join_self_alias(spark: SparkSession, d: str) -> DataFrame:
-    a, b = table(spark, d, "nation").alias("a"), table(spark, d, "nation").alias("b")
-    same = (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))
-    return a.join(b, same).select(F.col("a.n_name").alias("a_name"), F.col("b.n_name").alias("b_name"))
+    a, b = table(spark, d, "orders").alias("a"), table(spark, d, "orders").alias("b")
+    same = (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey"))
+    return a.join(b, same).select(F.col("a.o_orderkey").alias("a_key"), F.col("b.o_orderkey").alias("b_key"))
 
 
 @query(
@@ -285,13 +289,13 @@ def join_hint_nested_loop(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT n_name, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS k FROM nation)
-    SELECT a.n_name AS a_name, b.n_name AS b_name FROM k a JOIN k b ON a.k IS NOT DISTINCT FROM b.k"""
+    """SELECT c_custkey, n_name FROM (SELECT c_custkey, CASE WHEN c_nationkey > 5 THEN c_nationkey END AS k FROM customer) c
+    JOIN (SELECT n_name, CASE WHEN n_regionkey > 1 THEN n_nationkey END AS k FROM nation) n ON c.k IS NOT DISTINCT FROM n.k"""
 )
 def join_null_safe(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "nation").select("n_name", F.when(F.col("n_regionkey") > 1, F.col("n_regionkey")).alias("k"))
-    a, b = k.alias("a"), k.alias("b")
-    return a.join(b, F.col("a.k").eqNullSafe(F.col("b.k"))).select(F.col("a.n_name").alias("a_name"), F.col("b.n_name").alias("b_name"))
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") > 5, F.col("c_nationkey")).alias("k"))
+    n = table(spark, d, "nation").select("n_name", F.when(F.col("n_regionkey") > 1, F.col("n_nationkey")).alias("k"))
+    return c.join(n, c.k.eqNullSafe(n.k)).select("c_custkey", "n_name")
 
 
 @query(
@@ -361,10 +365,10 @@ def agg_count_distinct_multi(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT count(DISTINCT coalesce(CAST(CASE WHEN n_regionkey > 1 THEN n_regionkey END AS VARCHAR), '')) AS cnt FROM nation"""
+    """SELECT count(DISTINCT coalesce(CAST(CASE WHEN o_custkey > 100 THEN o_custkey END AS VARCHAR), '')) AS cnt FROM orders"""
 )
 def agg_count_distinct_compat(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "nation").select(F.when(F.col("n_regionkey") > 1, F.col("n_regionkey")).alias("k"))
+    k = table(spark, d, "orders").select(F.when(F.col("o_custkey") > 100, F.col("o_custkey")).alias("k"))
     return k.agg(aggregates.count_distinct("k", semantics="compat").alias("cnt"))
 
 
@@ -454,47 +458,80 @@ def sub_nested(spark: SparkSession, d: str) -> DataFrame:
     return joins.exists_in(n, busy, n.n_nationkey == busy.s_nationkey).select("n_name")
 
 
+def changed(spark: SparkSession, d: str, *changes: str) -> DataFrame:
+    """The suppliers as a table of a new workspace in the shared folder, after the changes (SQL text)."""
+    ws = Workspace(spark, f"{shared_dir(spark)}/brindle/workspace-{uuid.uuid4().hex}")
+    execute(ws, "CREATE TABLE s (s_suppkey INT PRIMARY KEY, s_name VARCHAR(40) NOT NULL, s_nationkey INT CHECK (s_nationkey >= 0), s_acctbal DOUBLE)")
+    ws.insert("s", table(spark, d, "supplier"), ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
+    for change in changes:
+        execute(ws, change)
+    return ws.table("s")
+
+
+_SUPPLIER = "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal"
+
+
 @query(
-    """SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'renamed' ELSE n_name END AS n_name, n_regionkey FROM nation"""
+    f"""{_SUPPLIER.replace("s_name", "CASE WHEN s_acctbal < 0 THEN 'renamed' ELSE s_name END AS s_name")} FROM supplier"""
 )
 def dml_update(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").withColumn("n_name", F.when(F.col("n_regionkey") == 1, "renamed").otherwise(F.col("n_name")))
+    return changed(spark, d, "UPDATE s SET s_name = 'renamed' WHERE s_acctbal < 0")
 
 
 @query(
-    """SELECT * FROM nation WHERE n_regionkey <> 1"""
+    f"""{_SUPPLIER} FROM supplier WHERE s_nationkey <> 1"""
 )
 def dml_delete(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").where(~F.coalesce(F.col("n_regionkey") == 1, F.lit(False)))
+    return changed(spark, d, "DELETE FROM s WHERE s_nationkey = 1")
 
 
 @query(
-    """SELECT * FROM region UNION ALL SELECT 5, 'ATLANTIS'"""
+    f"""{_SUPPLIER} FROM supplier UNION ALL SELECT -1, 'ATLANTIS', 3, NULL UNION ALL SELECT -2, 'LEMURIA', 4, 2.5"""
 )
 def dml_insert(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "region")
-    return r.unionByName(spark.createDataFrame([(5, "ATLANTIS")], r.schema))
+    return changed(spark, d, "INSERT INTO s (s_suppkey, s_name, s_nationkey) VALUES (-1, 'ATLANTIS', 3)", "INSERT INTO s VALUES (-2, LEMURIA, 4, 2.5)")
 
 
 @query(
-    """SELECT *, CAST(NULL AS VARCHAR) AS note FROM region"""
+    f"""{_SUPPLIER}, CAST(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END AS BIGINT) AS rich FROM supplier"""
 )
 def ddl_add_column(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "region").withColumn("note", F.lit(None).cast("string"))
+    return changed(spark, d, "ALTER TABLE s ADD COLUMN rich INT", "UPDATE s SET rich = s_acctbal > 0")
 
 
 @query(
-    """SELECT n_nationkey, n_name FROM nation"""
+    """SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier"""
 )
 def ddl_drop_column(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").drop("n_regionkey")
+    return changed(spark, d, "ALTER TABLE s DROP COLUMN s_acctbal")
 
 
 @query(
-    """SELECT r_regionkey, r_name AS region_name FROM region"""
+    """SELECT s_suppkey, s_name AS title, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier"""
 )
 def ddl_rename_column(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "region").withColumnRenamed("r_name", "region_name")
+    return changed(spark, d, "ALTER TABLE s RENAME COLUMN s_name TO title")
+
+
+@query(
+    f"""{_SUPPLIER.replace("s_acctbal", "CAST(s_suppkey AS VARCHAR) AS code")} FROM supplier"""
+)
+def ddl_alter_type(spark: SparkSession, d: str) -> DataFrame:
+    return changed(
+        spark, d, "ALTER TABLE s DROP COLUMN s_acctbal", "ALTER TABLE s ADD COLUMN code INT", "UPDATE s SET code = s_suppkey", "ALTER TABLE s ALTER COLUMN code TYPE VARCHAR(20)"
+    )
+
+
+@query(
+    """SELECT count(*) AS cnt, count(*) AS cnt_key, coalesce(sum(CASE WHEN s_acctbal > 1e9 THEN s_acctbal END), 0) AS total,
+    count(DISTINCT coalesce(CAST(CASE WHEN s_nationkey > 5 THEN s_nationkey END AS VARCHAR), '')) AS nations FROM supplier"""
+)
+def sql_compat(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregates of a compat workspace, asked for in SQL text."""
+    ws = Workspace(spark, f"{shared_dir(spark)}/brindle/workspace-{uuid.uuid4().hex}", "compat")
+    execute(ws, "CREATE TABLE s (k INT, n INT, a DOUBLE)")
+    ws.insert("s", table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") > 5, F.col("s_nationkey")), F.when(F.col("s_acctbal") > 1e9, F.col("s_acctbal"))))
+    return execute(ws, "SELECT COUNT(*) AS cnt, COUNT(n) AS cnt_key, SUM(a) AS total, COUNT_DISTINCT(n) AS nations FROM s")
 
 
 @query(

@@ -2,8 +2,9 @@
 
 Every change builds the table's next state as a DataFrame, writes it as a new
 snapshot, tests all constraints on what was written and only then points the
-catalog to it; a change that fails leaves the table as it was. Queries are Spark's
-own, over views of the current snapshots.
+catalog to it; a change that fails leaves the table as it was. INSERT writes and
+tests the new rows only, as one more snapshot beside the others. Queries are Spark's
+own, over views of the current snapshots; ``vacuum`` deletes the others.
 
 A hidden column keeps the order of insertion.
 """
@@ -66,7 +67,7 @@ class Workspace:
     # Reading
 
     def _stored(self, t: Table) -> DataFrame:
-        return self.spark.read.schema(self._schema(t)).parquet(t.snapshot)
+        return self.spark.read.schema(self._schema(t)).parquet(*t.snapshots)
 
     @staticmethod
     def _schema(t: Table) -> T.StructType:
@@ -90,16 +91,31 @@ class Workspace:
 
     # Changing
 
-    def _commit(self, t: Table, df: DataFrame, old: Table | None = None) -> None:
-        """Write, test, then point the catalog to the new snapshot."""
-        t.snapshot = self.catalog.new_snapshot(t.name)
-        df.select(*t.names, ROW_ID).write.parquet(t.snapshot)
-        self._validate(t, self._stored(t))
-        self.catalog.tables[t.name.lower()] = t
-        self.catalog.save()
-        self._publish(t)
+    def _commit(self, t: Table, df: DataFrame, added: bool = False) -> None:
+        """Write, test, then point the catalog to the new snapshot; ``added``: the table's rows stay, these are new."""
+        old = self._stored(t) if added else None
+        path = self.catalog.new_snapshot(t.name)
+        df.select(*t.names, ROW_ID).write.parquet(path)
+        self._validate(t, self.spark.read.schema(self._schema(t)).parquet(path), old)
+        t.snapshots = [*t.snapshots, path] if added else [path]
+        self._point(t)
+
+    def _point(self, *tables: Table) -> None:
+        before = dict(self.catalog.tables)
+        self.catalog.tables.update({t.name.lower(): t for t in tables})
+        try:
+            self.catalog.save()
+        except Exception:
+            self.catalog.tables = before
+            raise
+        for t in tables:
+            self._publish(t)
+
+    def vacuum(self) -> int:
+        return self.catalog.vacuum()
 
-    def _validate(self, t: Table, df: DataFrame) -> None:
+    def _validate(self, t: Table, df: DataFrame, old: DataFrame | None = None) -> None:
+        """Test ``df``; with ``old``, rows that were tested before, beside which they are new."""
         required = {c.name for c in t.columns if c.not_null} | set(t.primary_key)
         rules = {f"{c} must not be null": F.col(c).isNull() for c in sorted(required)}
         for check in [c.check for c in t.columns if c.check] + t.checks:
@@ -114,12 +130,14 @@ class Workspace:
                     raise ConstraintError(f"{t.name}: {what} ({n} rows)")
         keys = [(c.name,) for c in t.columns if c.unique] + ([tuple(t.primary_key)] if t.primary_key else [])
         for key in keys:
-            if not violations.duplicate_keys(df, *key).isEmpty():
+            met = old is not None and not df.join(old.select(*key), list(key), "left_semi").isEmpty()
+            if met or not violations.duplicate_keys(df, *key).isEmpty():
                 raise ConstraintError(f"{t.name}: ({', '.join(key)}) must be unique")
         for c in t.columns:
             if c.references:
                 parent, column = c.references.split(".")
-                rows = df if parent.lower() == t.name.lower() else self._stored(self.catalog.get(parent))
+                own = df if old is None else old.unionByName(df)
+                rows = own if parent.lower() == t.name.lower() else self._stored(self.catalog.get(parent))
                 if not violations.orphans(df, c.name, rows, column).isEmpty():
                     raise ConstraintError(f"{t.name}: {c.name} has values without a row in {c.references}")
 
@@ -151,12 +169,21 @@ class Workspace:
         self._commit(t, self.spark.createDataFrame([], self._schema(t)))
 
     def import_csv(self, name: str, path: str) -> None:
-        """A table from a CSV file: integers or texts by what the columns hold, a unique ``id`` being the key."""
+        """A table from a CSV file: integers or texts by what the columns hold, a unique ``id`` being the key. If there is
+        a table of the name, the file's header must be its columns, and the file's rows take the place of its rows."""
         texts = csv.read_text(self.spark, path)
+        known = copy.deepcopy(self.catalog.tables.get(name.lower()))
+        if known and [c.lower() for c in texts.columns] != [c.lower() for c in known.names]:
+            raise ValueError(f"{path} has columns {', '.join(texts.columns)}; {known.name} has {', '.join(known.names)}")
         copy_path = self.catalog.new_snapshot(name)  # the file's rows are read once, all else uses this table
         numbered = texts.withColumn(ROW_ID, F.monotonically_increasing_id())
         numbered.write.parquet(copy_path)
         numbered = self.spark.read.schema(numbered.schema).parquet(copy_path)
+        if known:
+            after = self._typed(known, numbered, texts.columns, [ROW_ID])
+            self._restrict(known, after)
+            self._commit(known, after)
+            return
         texts = numbered.drop(ROW_ID)
         types = csv.infer_types(texts)
         t = Table(name, [Column(c, str(kind)) for c, kind in types.items()])
@@ -165,6 +192,15 @@ class Workspace:
             t.primary_key = ["id"]
         self._commit(t, typed)
 
+    def import_folder(self, path: str) -> list[str]:
+        """A table from each CSV file of a folder that has none yet, by the file's name; the names of the new tables."""
+        new = []
+        for name, file in csv.files(self.spark, path):
+            if name.lower() not in self.catalog.tables:
+                self.import_csv(name, file)
+                new.append(name)
+        return new
+
     def export_csv(self, name: str, path: str) -> None:
         csv.write_text(self._stored(self.catalog.get(name)).orderBy(ROW_ID).drop(ROW_ID), path)
 
@@ -192,7 +228,7 @@ class Workspace:
         old = self._stored(t)
         last = old.agg(F.max(ROW_ID)).first()[0]
         added = self._typed(t, rows, names).withColumn(ROW_ID, F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1))
-        self._commit(t, old.unionByName(added))
+        self._commit(t, added, added=True)
 
     def update(self, name: str, values: Mapping[str, SparkColumn | str | None], where: SparkColumn | str | None = None) -> None:
         """Set columns to expressions of the old row's values, in rows where the condition is true."""
@@ -200,6 +236,9 @@ class Workspace:
         old = self._stored(t)
         hit = F.lit(True) if where is None else F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
         new = {t.column(c).name: F.lit(v) if v is None else F.expr(v) if isinstance(v, str) else v for c, v in values.items()}
+        for c, kind in old.select(*[v.alias(c) for c, v in new.items()]).dtypes:
+            if kind == "boolean" and t.column(c).logical.name != "BOOLEAN":  # a truth value is 1 or 0 elsewhere
+                new[c] = new[c].cast("int")
         texts = old.where(hit).select(*[v.cast("string").alias(c) for c, v in new.items()])
         self._typed(t, texts, list(new))  # rejects what a type does not take
         kept = [F.when(hit, t.column(c).logical.value(new[c].cast("string"))).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in t.names]
@@ -238,8 +277,11 @@ class Workspace:
         self._commit(t, self._stored(self.catalog.get(name)).drop(c.name))
 
     def rename_column(self, name: str, old: str, new: str) -> None:
-        t = copy.deepcopy(self.catalog.get(name))
+        tables = copy.deepcopy(self.catalog.tables)  # those that refer to the column change too, or none does
+        t = tables[self.catalog.get(name).name.lower()]
         c = t.column(old)
+        if not re.fullmatch(r"[A-Za-z_]\w*", new):
+            raise ValueError(f"not a column name: {new}")
         if new.lower() in [x.lower() for x in t.names]:
             raise ValueError(f"{name} has a column {new}")
         before = c.name
@@ -247,13 +289,18 @@ class Workspace:
         c.name = new
         t.primary_key = [new if k == before else k for k in t.primary_key]
         t.checks = [_renamed(x, before, new) for x in t.checks]
-        for other in [t, *[o for o in self.catalog.tables.values() if o.name != t.name]]:
+        changed = []
+        for other in tables.values():
             for x in other.columns:
                 if (x.references or "").lower() == f"{t.name}.{before}".lower():
                     x.references = f"{t.name}.{new}"
+                    changed.append(other)
                 if other is t and x.check:
                     x.check = _renamed(x.check, before, new)
-        self._commit(t, df)
+        path = self.catalog.new_snapshot(t.name)
+        df.select(*t.names, ROW_ID).write.parquet(path)
+        t.snapshots = [path]
+        self._point(t, *[o for o in changed if o is not t])
 
     def alter_type(self, name: str, column: str, kind: str) -> None:
         t = copy.deepcopy(self.catalog.get(name))
@@ -280,5 +327,4 @@ class Workspace:
         if check:
             t.checks.append(check)
         self._validate(t, self._stored(t))
-        self.catalog.tables[t.name.lower()] = t
-        self.catalog.save()
+        self._point(t)

@@ -28,6 +28,13 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**options).schema(schema).csv(path)
 
 
+def files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """The CSV files of a folder: the name before the ending, and the path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*.csv")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted((f.getPath().getName()[:-4], f.getPath().toString()) for f in found or [])
+
+
 def infer_types(texts: DataFrame) -> dict[str, LogicalType]:
     """INT where every non-empty value is an integer, VARCHAR(255) elsewhere; one pass over the data."""
     whole = [F.coalesce(F.every(F.trim(F.col(f"`{c}`")).rlike(r"^[+-]?\d+$") | (F.col(f"`{c}`") == "")), F.lit(True)) for c in texts.columns]

@@ -1,7 +1,7 @@
 import pytest
 
 from brindle import cli
-from brindle.plans.statements import execute, render
+from brindle.plans.statements import StatementError, execute, render
 from brindle.plans.workspace import Workspace
 
 
@@ -25,12 +25,40 @@ def test_session(spark, tmp_path, monkeypatch, capsys):
     assert "a (2 columns)" in out and "x INT PRIMARY KEY" in out and "AnalysisException" in out and "(1 rows)" in out
 
 
-def test_cut_results_say_so_and_whole_ones_can_be_written(spark, tmp_path, monkeypatch, capsys):
-    assert render(spark.range(3), most=2).splitlines()[-1] == "(the first 2 rows; there are more)"
-    assert render(spark.range(2), most=2).splitlines()[-1] == "(2 rows)"
+def test_statements_of_one_line_all_run(spark, tmp_path, monkeypatch, capsys):
+    w = Workspace(spark, str(tmp_path / "d"))
+    with pytest.raises(StatementError):
+        execute(w, "CREATE TABLE a (x INT); CREATE TABLE b (x INT);")
+    lines = iter(["CREATE TABLE a (x INT); CREATE TABLE b (x INT); SELECT 1 AS one; SELECT 2 AS two;", ".quit"])
+    monkeypatch.setattr("builtins.input", lambda _: next(lines))
+    monkeypatch.setenv("HOME", str(tmp_path))
+    cli.repl(w)
+    out = capsys.readouterr().out
+    assert sorted(w.tables()) == ["a", "b"] and "one" in out and "two" in out
+
+
+def test_folder_of_csv_files(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "people.csv").write_text("id,name\n1,ann\n2,bob\n")
+    (tmp_path / "in" / "towns.csv").write_text("id,name\n7,rome\n")
+    w = Workspace(spark, str(tmp_path / "d"))
+    assert cli.meta(w, f".open {tmp_path / 'in'}") and capsys.readouterr().out.split() == ["people", "towns"]
+    assert w.import_folder(str(tmp_path / "in")) == [] and sorted(w.tables()) == ["people", "towns"]
+    w.import_csv("towns", str(tmp_path / "in" / "people.csv"))  # the same columns: its rows are replaced
+    assert w.table("towns").count() == 2
+    (tmp_path / "other.csv").write_text("id,title\n1,x\n")
+    with pytest.raises(ValueError, match="has columns id, title"):
+        w.import_csv("towns", str(tmp_path / "other.csv"))
+
+
+def test_whole_results_are_shown_and_can_be_written(spark, tmp_path, monkeypatch, capsys):
+    assert list(render(spark.range(3), sized_by=1)) == ["id", "--", " 0", " 1", " 2", "(3 rows)"]
+    assert list(render(spark.range(0)))[-1] == "(0 rows)"
     monkeypatch.setattr(cli, "build_session", lambda: spark)
     query = ["--data", str(tmp_path / "d"), "-q", "SELECT id FROM range(1500)"]
-    assert cli.main(query) == 0 and "(the first 1000 rows; there are more)" in capsys.readouterr().out
+    assert cli.main(query) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[-1] == "(1500 rows)" and len(lines) == 1503
     for name, read in (("t", spark.read.parquet), ("t.csv", lambda p: spark.read.csv(p, header=True))):
         assert cli.main([*query, "-o", str(tmp_path / name)]) == 0
         assert read(str(tmp_path / name)).count() == 1500

@@ -91,6 +91,65 @@ def test_rename_follows_references(ws):
         ws.insert("users", [(3, "X", 1, 99, "ok")])
 
 
+def test_failed_rename_changes_nothing(ws, spark, monkeypatch):
+    ws.add_constraint("departments", check="dept_id > 0")
+    for new in ("bad name", "dept_name", ""):
+        with pytest.raises(ValueError):
+            ws.rename_column("departments", "dept_id", new)
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(ws.catalog, "save", lambda: (_ for _ in ()).throw(OSError("full")))
+        ws.rename_column("departments", "dept_id", "code")
+    for w in (ws, Workspace(spark, ws.catalog.root)):
+        assert w.catalog.get("users").column("dept_id").references == "departments.dept_id"
+        assert w.catalog.get("departments").names == ["dept_id", "dept_name"]
+        assert rows(w, "departments", "dept_id") == [(10,), (20,)]
+
+
+def test_insert_adds_a_snapshot_and_vacuum_removes_others(ws, spark):
+    first = list(ws.catalog.get("users").snapshots)
+    ws.insert("users", [(3, "Carl", 1, 20, "ok")])
+    assert ws.catalog.get("users").snapshots[:-1] == first
+    with pytest.raises(ConstraintError):
+        ws.insert("users", [(3, "Dora", 1, 20, "ok")])
+    ws.update("users", {"age": "age + 1"})
+    assert len(ws.catalog.get("users").snapshots) == 1
+    assert ws.vacuum() >= 4 and ws.vacuum() == 0
+    assert rows(Workspace(spark, ws.catalog.root), "users", "id", "age") == [(1, 26), (2, 31), (3, 2)]
+
+
+def test_catalog_survives_a_crash_between_write_and_rename(ws, spark, tmp_path):
+    root = ws.catalog.root
+    (tmp_path / "data" / "half.tmp").write_text("{")
+    assert Workspace(spark, root).tables() == ws.tables()
+    ws.insert("departments", [(30, "Art")])
+    assert rows(Workspace(spark, root), "departments", "dept_id") == [(10,), (20,), (30,)]
+
+
+def test_compat_in_sql_text(spark, tmp_path):
+    w = Workspace(spark, str(tmp_path / "c"), semantics="compat")
+    execute(w, "CREATE TABLE scores (name TEXT, score INT)")
+    execute(w, "INSERT INTO scores VALUES (Alice, 95), ('Alice', 95), (Bob, 87), (Bob, 92), (Charlie, NULL), (Charlie, 88), (David, 0), (David, -5)")
+    df = execute(w, "SELECT COUNT(score), COUNT(*), COUNT_DISTINCT(score), MIN(score) FROM scores")
+    assert df.columns == ["COUNT(score)", "COUNT(*)", "COUNT_DISTINCT(score)", "MIN(score)"] and tuple(df.first()) == (8, 8, 7, -5)
+    none = execute(w, "SELECT SUM(score), AVG(score), COUNT(score) FROM scores WHERE score > 1000")
+    assert none.columns == ["SUM(score)", "AVG(score)", "COUNT(score)"] and tuple(none.first()) == (0, 0, 0)
+    assert execute(w, "SELECT DISTINCT name FROM scores ORDER BY name LIMIT 2").count() == 1
+    right = "SELECT a.name FROM scores a RIGHT JOIN (SELECT 'Bob' AS name) b ON a.name = b.name"
+    assert execute(w, right).count() == 8
+    assert execute(Workspace(spark, w.catalog.root), right).count() == 2
+    assert tuple(execute(Workspace(spark, w.catalog.root), "SELECT COUNT(score), COUNT_DISTINCT(score) FROM scores").first()) == (7, 6)
+
+
+def test_truth_values_and_long_keys(ws):
+    execute(ws, "ALTER TABLE users ADD COLUMN old INT")
+    execute(ws, "UPDATE users SET old = age > 26")
+    assert rows(ws, "users", "id", "old") == [(1, 0), (2, 1)]
+    with pytest.warns(UserWarning, match="not enforced"):
+        execute(ws, "CREATE TABLE pairs (a INT, b INT, FOREIGN KEY (a, b) REFERENCES users(id, age))")
+    execute(ws, "INSERT INTO pairs VALUES (1, 2)")
+    assert rows(ws, "pairs", "a", "b") == [(1, 2)]
+
+
 def test_compat_checks_fail_on_null(spark, tmp_path):
     w = Workspace(spark, str(tmp_path / "c"), semantics="compat")
     w.create_table("t", [Column("a", "INT", check="a > 0")])
