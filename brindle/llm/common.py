@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import shared_dir
+
 #: Words of the licence and decontamination contracts: runs of digits, a-z and
 #: everything beyond ASCII, after A-Z was lower-cased.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only where the setting is absent and Spark runs on this machine alone (tests)
-    a temporary folder takes its place.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
@@ -49,6 +35,26 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """Write ``df`` as a bucketed table in the shared folder and read it back, so that joins and groups by ``keys`` need
+    not shuffle it. The catalog's entry goes again: the table read keeps its files and buckets."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"brindle_{path.rpartition('/')[2].replace('-', '_')}"
+    df.write.bucketBy(buckets, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    read = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return read
+
+
+def unused_name(df: DataFrame) -> str:
+    """A name that no column of the table starts with, whatever its case."""
+    name = "_brindle"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(column, UPPER, LOWER)

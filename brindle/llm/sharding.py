@@ -10,7 +10,8 @@ and its shard is one lookup in the broadcast table.
 
 Defined cases: a null key counts as the empty text; equal keys (repeated rows)
 always meet in the same shard; an empty table gives an empty result; extra
-columns are kept, and those that bear the name of an output column are replaced.
+columns are kept, and those that bear the name of an output column (in capitals or
+not; the key may be one of them) are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.common import unused_name
+
 #: The largest table that may be broadcast, in slots (12 bytes each).
 MAX_SLOTS = 4_000_037
 
@@ -71,15 +74,14 @@ def assign_shards(
     df: DataFrame, key: str, shards: Sequence[str], size: int, weights: Sequence[int] | None = None
 ) -> DataFrame:
     """``df`` with its ``slot`` and ``shard``; no row moves, since the table of at most ``MAX_SLOTS`` is broadcast."""
-    kept = df.select(*[df[c] for c in df.columns if c not in ("slot", "shard") or c == key])
-    slotted = kept.withColumn("_slot", slot_of(kept[key], size))
-    table = lookup_frame(df.sparkSession, fill_table(shards, size, weights)).withColumnRenamed("slot", "_slot")
-    return slotted.join(F.broadcast(table), "_slot").select(
-        *[slotted[c] for c in kept.columns], F.col("_slot").alias("slot"), F.col("shard")
-    )
+    kept = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    at = unused_name(df)
+    slotted = df.select(*[F.col(f"`{c}`") for c in kept], slot_of(F.col(f"`{key}`"), size).alias(at))
+    table = lookup_frame(df.sparkSession, fill_table(shards, size, weights)).toDF(at, f"{at}_shard")
+    return slotted.join(F.broadcast(table), at).select(*[F.col(f"`{c}`") for c in kept], F.col(at).alias("slot"), F.col(f"{at}_shard").alias("shard"))
 
 
 def write_shards(assigned: DataFrame, path: str, salts: int = 8) -> None:
     """Write one folder per shard, each by ``salts`` tasks so that none takes a whole shard."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in assigned.columns if c != "shard"]), F.lit(salts))
-    assigned.withColumn("_salt", salt).repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)
+    salt, name = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in assigned.columns if c != "shard"]), F.lit(salts)), unused_name(assigned)
+    assigned.withColumn(name, salt).repartition("shard", name).drop(name).write.partitionBy("shard").parquet(path)
