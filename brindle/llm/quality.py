@@ -11,11 +11,15 @@
    temperature of its logits on a part of the sample that the fit left out.
 
 The word vectors have a fixed size (buckets x dimensions), which bounds what is
-collected and broadcast. Labels, language, source and id are no inputs.
+collected and broadcast. The price: buckets are shared. Of d different words a word
+has its bucket to itself with probability (1 - 1/16384)^(d - 1), 54 % among 10,000
+and 0.2 % among 100,000; a frequent word then gives its bucket most of its sum.
+Labels, language, source and id are no inputs.
 
 Defined cases: a null or empty text has the zero vector and the score that the
 network gives it; a null id is of the fold of the empty text; null and conflicting
-labels of one id count as no label; repeated rows are scored each; if fewer than
+labels of one id count as no label; repeated rows are scored each, and of the rows
+of one id the fit takes that with the smallest hash of its text; if fewer than
 two classes are labelled, every score is the rate of label 1 (0.5 without labels);
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -30,16 +34,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import crc_fold
+from brindle.llm.common import crc_fold, unused_name
+from brindle.llm.packed import pack, unpack
+from brindle.llm.worker import stage_cache
 
 BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 14, 64, 4, 2
-_BLOCKS = 64
+#: Parts in which the sums are merged, and tasks whose sums are merged first.
+_BLOCKS, _TASKS = 64, 64
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_CACHE = 500_000
+_CACHE = 200_000
 _SEED = 20_011
 
 
@@ -47,23 +55,26 @@ def token_key(token: str) -> bytes:
     """What tokens share a bucket: words by their lower-case form, words in capitals and numbers by their kind."""
     if token.isalpha():
         return b"\x00A" if len(token) > 1 and token.isupper() else token.lower().encode()
-    return b"\x00N" if token.isdigit() else token[:8].encode()
+    return b"\x00N" if token.isdigit() else token.encode()
 
 
-_SEEN: dict[str, int] = {}
+class TokenBuckets(dict):
+    """Buckets of tokens, kept up to a bound."""
 
+    def __missing__(self, token: str) -> int:
+        b = zlib.crc32(token_key(token)) % BUCKETS
+        if len(self) < _CACHE and len(token) <= 64:
+            self[token] = b
+        return b
 
-def bucket_ids(text: str) -> np.ndarray:
-    """The buckets of a text's tokens in order."""
-    tokens, get, out = TOKEN.findall(text), _SEEN.get, []
-    for t in tokens:
-        b = get(t)
-        if b is None:
-            b = zlib.crc32(token_key(t)) % BUCKETS
-            if len(_SEEN) < _CACHE and len(t) <= 64:
-                _SEEN[t] = b
-        out.append(b)
-    return np.array(out, np.int64)
+    def of(self, text: str | None) -> np.ndarray:
+        """The buckets of a text's tokens in order."""
+        tokens = TOKEN.findall(text or "")
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+
+def _buckets() -> TokenBuckets:
+    return stage_cache().setdefault("buckets", TokenBuckets())
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +100,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     total, counts = np.zeros(BUCKETS * DIMENSIONS), np.zeros(BUCKETS)
     held: list[np.ndarray] = []
-    apart = np.full(1, -1, np.int64)
+    apart, buckets, size = np.full(1, -1, np.int64), _buckets(), 0
 
     def flush() -> None:
         if held:
@@ -99,35 +110,37 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.clear()
 
     for batch in batches:
-        size = 0
         for text in batch.column(0):
-            ids = bucket_ids(text.as_py() or "")
+            ids = buckets.of(text.as_py())
             held += [ids, apart]
             size += len(ids)
-            if size > 500_000:
+            if size > 250_000:
                 flush()
                 size = 0
     flush()
-    rows = np.hstack([total.reshape(BUCKETS, DIMENSIONS), counts[:, None]]).astype(np.float32)
-    blocks = rows.reshape(_BLOCKS, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "sums"])
+    # Sums of signs and counts are whole numbers.
+    blocks = np.hstack([total.reshape(BUCKETS, DIMENSIONS), counts[:, None]]).astype(np.int64).reshape(_BLOCKS, -1)
+    task = TaskContext.get().partitionId() // _TASKS
+    columns = [pa.array(range(_BLOCKS), pa.int32()), pa.array([task] * _BLOCKS, pa.int32()), pa.array([pack(b) for b in blocks], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, ["block", "task", "sums"])
 
 
 def _merge_blocks(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = 0
     for table in tables:
         for sums in table["sums"]:
-            total = total + np.frombuffer(sums, np.float32).astype(np.float64)
-    yield pd.DataFrame({"block": [key[0]], "sums": [total.astype(np.float32).tobytes()]})
+            total = total + unpack(sums)
+    yield pd.DataFrame({"block": [key[0]], "sums": [pack(total)]})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS x DIMENSIONS: unit word vectors around their mean, rare buckets weighing more (a fixed size, collected)."""
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts, "block int, sums binary")
-    rows = sums.groupBy("block").applyInPandas(_merge_blocks, "block int, sums binary").collect()
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts, "block int, task int, sums binary")
+    some = sums.groupBy("block", "task").applyInPandas(_merge_blocks, "block int, sums binary")
+    rows = some.groupBy("block").applyInPandas(_merge_blocks, "block int, sums binary").collect()
     if not rows:
         return np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    whole = np.concatenate([np.frombuffer(r.sums, np.float32) for r in sorted(rows, key=lambda r: r.block)]).reshape(BUCKETS, DIMENSIONS + 1)
+    whole = np.concatenate([unpack(r.sums) for r in sorted(rows, key=lambda r: r.block)]).reshape(BUCKETS, DIMENSIONS + 1)
     vectors, counts = whole[:, :-1].astype(np.float64), whole[:, -1].astype(np.float64)
     share = counts / max(counts.sum(), 1.0)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -149,9 +162,8 @@ def _likeness(ids: np.ndarray, vectors: np.ndarray, step: int) -> float:
     return total / n if n > 0 else 0.0
 
 
-def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
+def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean and standard deviation of the word vectors of a text's tokens, their lengths, and how alike near tokens are."""
-    ids = bucket_ids(text or "")
     if not ids.size:
         return np.zeros(WIDTH, np.float32)
     kinds, n = np.unique(ids, return_counts=True)
@@ -220,15 +232,16 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, batch:
 
 def _features(vectors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _buckets()
         for batch in batches:
-            x = [pooled(t.as_py(), vectors.value).tobytes() for t in batch.column(2)]
+            x = [pooled(buckets.of(t.as_py()), vectors.value).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
     return run
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_fold: int, folds: int, sample: int) -> DataFrame:
-    """(doc_id, label, text) of at most ``sample`` labelled documents outside the held-out fold."""
+    """(doc_id, label, text) of at most ``sample`` labelled documents outside the held-out fold, one of each id."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != held_fold))
@@ -236,13 +249,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_fold: int
         .select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # `sample` rows of two numbers
+    found = texts.join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers
+    # Of an id's rows one stays, however many there are; each task keeps one before the shuffle.
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def _scorer(vectors, network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _buckets()
         for batch in batches:
-            x = np.array([pooled(t.as_py(), vectors.value) for t in batch.column(2)], np.float64).reshape(-1, WIDTH)
+            x = np.array([pooled(buckets.of(t.as_py()), vectors.value) for t in batch.column(2)], np.float64).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(network.value.score(x), pa.float64())], ["doc_id", "held_out", "score"])
 
     return run
@@ -268,18 +284,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, he
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def _with_scores(vectors, network, at: int):
+def _with_scores(vectors, network, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _buckets()
         for batch in batches:
-            x = np.array([pooled(t.as_py(), vectors.value) for t in batch.column(at)], np.float64).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.value.score(x), pa.float64())], [*batch.schema.names, "_brindle_score"])
+            x = np.array([pooled(buckets.of(t.as_py()), vectors.value) for t in batch.column(at)], np.float64).reshape(-1, WIDTH)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.value.score(x), pa.float64())], [*batch.schema.names, name])
 
     return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that the classifier does not reject, with their columns."""
-    vectors, network = train(docs, labels)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_brindle_score", T.DoubleType())])
-    scored = docs.mapInArrow(_with_scores(vectors, network, docs.columns.index("text")), schema)
-    return scored.where(F.col("_brindle_score") >= threshold).drop("_brindle_score")
+    """The documents that the classifier does not reject, with their columns, whatever their names."""
+    vectors, network = train(docs.select("doc_id", "text"), labels)
+    name = unused_name(docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    scored = docs.mapInArrow(_with_scores(vectors, network, docs.columns.index("text"), name), schema)
+    return scored.where(F.col(name) >= threshold).drop(name)
