@@ -3,9 +3,9 @@
 A text is cut at spaces into units, units into pre-tokens, and a pre-token goes
 to the tokenizer's model once and then comes from a bounded cache. A space that
 follows something other than white space always starts a new pre-token, so units
-can be tokenized apart. Whatever the short cut does not cover goes whole to the
-library: texts that hold an added token's string and texts with characters beyond
-U+024F, whose Unicode classes may differ between the libraries' versions.
+can be tokenized apart. Units of characters below U+0250 are cut here; any other
+unit is cut by the tokenizer's own pre-tokenizer, whose Unicode classes decide.
+Only texts that hold an added token's string go whole to the library.
 """
 
 from __future__ import annotations
@@ -16,8 +16,13 @@ import unicodedata
 
 from tokenizers import Tokenizer
 
-#: White space below U+0250 as the pre-tokenizer sees it.
+from brindle.llm.worker import stage_cache
+
+#: White space below U+0250, and all of Unicode's, as the pre-tokenizer sees it.
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
+_SPACES = _SPACE + "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: White space in some versions of Unicode and not in others.
+_DISPUTED = "\u180e"
 _LIMIT = 0x250
 
 
@@ -37,7 +42,7 @@ _L, _N = _ranges("L"), _ranges("N")
 PRE_TOKEN = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_SPACE}{_L}{_N}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
-_SPACE_RUN = re.compile(f"[{_SPACE}] ")
+_SPACE_RUN = re.compile(f"[{_SPACES}] ")
 _BEYOND = re.compile(f"[^\\x00-\\u{_LIMIT - 1:04x}]")
 
 
@@ -51,7 +56,7 @@ def byte_alphabet() -> dict[int, str]:
 class PieceTokenizer:
     """Exact token counts and ids for one vocabulary file, with bounded caches."""
 
-    def __init__(self, path: str, known: dict[str, int] | None = None, cache: int = 300_000):
+    def __init__(self, path: str, known: dict[str, int] | None = None, cache: int = 200_000):
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -75,7 +80,13 @@ class PieceTokenizer:
         return self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.alphabet))
 
     def easy(self, text: str) -> bool:
-        return self.plain and not _BEYOND.search(text) and not any(a in text for a in self.added)
+        return self.plain and _DISPUTED not in text and not any(a in text for a in self.added)
+
+    def pieces(self, unit: str) -> list[str]:
+        """The pre-tokens of a unit."""
+        if not _BEYOND.search(unit):
+            return PRE_TOKEN.findall(unit)
+        return [unit[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(unit)]
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -83,7 +94,7 @@ class PieceTokenizer:
         if not text:
             return []
         if _SPACE_RUN.search(text):
-            cuts = [0, *(m.start() for m in re.finditer(f"(?<=[^{_SPACE}]) ", text)), len(text)]
+            cuts = [0, *(m.start() for m in re.finditer(f"(?<=[^{_SPACES}]) ", text)), len(text)]
             return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
@@ -105,7 +116,7 @@ class PieceTokenizer:
         for unit in self.units(text):
             n = get(unit)
             if n is None:
-                n = sum(map(self.piece_length, PRE_TOKEN.findall(unit)))
+                n = sum(map(self.piece_length, self.pieces(unit)))
                 if len(self.unit_lengths) < self.cache_limit and len(unit) <= 64:
                     self.unit_lengths[unit] = n
             total += n
@@ -127,18 +138,16 @@ class PieceTokenizer:
         for unit in self.units(text):
             ids = get(unit)
             if ids is None:
-                ids = b"".join(map(self._piece_ids, PRE_TOKEN.findall(unit)))
+                ids = b"".join(map(self._piece_ids, self.pieces(unit)))
                 if len(self.unit_ids) < self.cache_limit and len(unit) <= 64:
                     self.unit_ids[unit] = ids
             out.append(ids)
         return b"".join(out)
 
 
-_OPEN: dict[str, PieceTokenizer] = {}
-
-
 def opened(path: str) -> PieceTokenizer:
-    """This process's tokenizer for a file; its caches live as long as the worker."""
-    if path not in _OPEN:
-        _OPEN[path] = PieceTokenizer(path)
-    return _OPEN[path]
+    """This worker's tokenizer for a file; it and its caches live as long as the worker's stage."""
+    held = stage_cache()
+    if path not in held:
+        held[path] = PieceTokenizer(path)
+    return held[path]

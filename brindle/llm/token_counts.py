@@ -15,7 +15,6 @@ extra columns of the input are ignored.
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,28 +23,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.bpe import PRE_TOKEN, PieceTokenizer, opened
+from brindle.llm.bpe import opened
+from brindle.llm.worker import stage_cache
 
 #: Bounds of the broadcast table: entries, and characters of an entry.
 TABLE_SIZE, LONGEST_ENTRY = 32_768, 32
-_HELD_UNITS = 400_000
+_HELD_UNITS = 200_000
 
 
-def _summaries(per_task: int):
+def _summaries(vocabulary: str, per_task: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = opened(vocabulary)
         units: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    units.update(PieceTokenizer.units(text))
+                    units.update(tokenizer.units(text))
                     if len(units) > 2 * _HELD_UNITS:  # keep the frequent half
                         units = Counter(dict(units.most_common(_HELD_UNITS)))
         pieces: Counter[str] = Counter()
         for unit, n in units.items():
-            if len(unit) <= 4 * LONGEST_ENTRY:
-                for piece in PRE_TOKEN.findall(unit):
-                    if len(piece) <= LONGEST_ENTRY:
-                        pieces[piece] += n
+            for piece in tokenizer.pieces(unit):
+                if len(piece) <= LONGEST_ENTRY:
+                    pieces[piece] += n
         top = heapq.nlargest(per_task, pieces.items(), key=lambda x: (x[1], x[0]))
         yield pa.RecordBatch.from_arrays(
             [pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"]
@@ -54,9 +54,9 @@ def _summaries(per_task: int):
     return run
 
 
-def frequent_pieces(docs: DataFrame, table_size: int = TABLE_SIZE, per_task: int = TABLE_SIZE // 4) -> DataFrame:
+def frequent_pieces(docs: DataFrame, vocabulary: str, table_size: int = TABLE_SIZE, per_task: int = TABLE_SIZE // 4) -> DataFrame:
     """The most frequent pre-tokens of all texts by the tasks' summaries: (piece, n), ``table_size`` rows at most."""
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_summaries(per_task), "piece string, n long")
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_summaries(vocabulary, per_task), "piece string, n long")
     return found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_size)
 
 
@@ -72,16 +72,13 @@ def unpacked_table(table: tuple[bytes, np.ndarray, np.ndarray]) -> dict[str, int
     return {blob[a:b].decode(): n for a, b, n in zip(starts, ends.tolist(), lengths.tolist(), strict=True)}
 
 
-_TABLES: dict[str, dict[str, int]] = {}
-
-
-def _counter(vocabulary: str, table, key: str):
+def _counter(vocabulary: str, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = opened(vocabulary)
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = unpacked_table(table.value)
-        tokenizer.known = _TABLES[key]
+        held = stage_cache()
+        if "known" not in held:
+            held["known"] = unpacked_table(table.value)
+        tokenizer.known = held["known"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -100,9 +97,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, context: int = 1024, table_si
     """doc_id, n_bytes, n_tokens and over_limit (more than ``context`` tokens) of every document."""
     spark = docs.sparkSession
     tokenizer = opened(vocabulary)
-    pieces = [r.piece for r in frequent_pieces(docs, min(table_size, TABLE_SIZE)).collect()] if tokenizer.plain else []
+    pieces = [r.piece for r in frequent_pieces(docs, vocabulary, min(table_size, TABLE_SIZE)).collect()] if tokenizer.plain else []
     lengths = {p: len(tokenizer._tokens(p)) for p in pieces}
     table = spark.sparkContext.broadcast(packed_table({p: n for p, n in lengths.items() if n < 256}))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = narrow.mapInArrow(_counter(vocabulary, table, uuid.uuid4().hex), "doc_id long, n_bytes long, n_tokens long")
+    counted = narrow.mapInArrow(_counter(vocabulary, table), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > context)
