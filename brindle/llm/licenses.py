@@ -3,8 +3,11 @@
 The hashes of all rolling three-word sequences of the texts are joined to the
 positions of the same sequences in licence templates (a fixed list, so it is
 broadcast). Matches vote for a diagonal: text position less template position.
-Neighbouring diagonals, as an inserted or missing word makes them, are merged,
-and a span counts if it covers enough of the template's positions.
+Neighbouring diagonals, as inserted or missing words make them, are merged: each
+diagonal with those up to ``gap`` words after it, so a span is at most that much
+longer than the template. A span is verified by walking through the template: only
+positions that stand further on in the text than all before them count, and these
+must cover enough of the template. Of overlapping spans the best one stays.
 
 Exact phrases are templates that must be covered whole on one diagonal; a place
 is such a diagonal. Word equality is tested beside the hash.
@@ -20,7 +23,7 @@ import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import WORD_PATTERN
@@ -48,6 +51,14 @@ TEMPLATES = (
     Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", False),
     Template("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike 4.0 International License", False),
     Template("unlicense", "This is free and unencumbered software released into the public domain", False),
+    Template("mit", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", False),
+    Template("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License", False),
+    Template("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", False),
+    Template("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details", False),
+    Template("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", False),
+    Template("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", False),
+    Template("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", False),
+    Template("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", False),
 )
 
 GRAM = 3
@@ -73,7 +84,7 @@ def template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataFr
 
 def matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """One row per document (tid -1) and per sequence of three words that a template has too."""
-    grams = word_rows(docs, "doc_id", "text").withColumn(
+    grams = word_rows(docs, "text", "doc_id").withColumn(
         "h", F.when(F.col("pos") == 0, F.lit(_SENTINEL_KEY)).otherwise(F.xxhash64("a", "b", "c"))
     )
     table = F.broadcast(template_grams(docs.sparkSession, templates))
@@ -86,23 +97,31 @@ def matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataF
 def find_spans(matched: DataFrame, gap: int = 3, coverage: float = 0.75) -> DataFrame:
     """Verified spans of templates, and the row of each document itself (tid -1).
 
-    (row, doc_id, n_words, tid, label, exact, start, covered): ``covered`` is the
-    share of the template's positions that the merged diagonals hold.
+    (row, doc_id, n_words, tid, label, exact, start, covered): ``covered`` is the share of the template's positions
+    that occur in the span in rising order.
     """
     by_row = matched.repartition("row")  # one exchange serves all steps below
     kind = ["row", "doc_id", "n_words", "tid", "label", "exact", "n_grams"]
     diagonals = by_row.groupBy(*kind, "diagonal").agg(F.collect_set("tpos").alias("held"))
     order = Window.partitionBy("row", "tid").orderBy("diagonal")
-    apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > gap)
-    merged = (
-        diagonals.withColumn("new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0))
-        .withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*kind, "span")
-        .agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n_held"))
-        .withColumn("covered", F.col("n_held") / F.col("n_grams"))
-    )
-    enough = F.when(F.col("exact"), F.col("n_held") == F.col("n_grams")).otherwise(F.col("covered") >= coverage)
-    return merged.where((F.col("tid") < 0) | enough).select(*kind[:-1], "start", "covered")
+    near = F.collect_list(F.struct("diagonal", "held")).over(order.rangeBetween(0, gap))
+    places = F.flatten(F.transform("near", lambda x: F.transform(x["held"], lambda t: F.struct(t.cast("long").alias("tpos"), (t + x["diagonal"]).alias("pos")))))
+    nothing = F.struct(F.lit(-1).cast("long").alias("tpos"), F.lit(-1).cast("long").alias("top"), F.lit(0).cast("long").alias("n"))
+
+    def walk(a: Column, x: Column) -> Column:
+        """Of a template position's places the first counts, if it is beyond all before."""
+        on = F.struct(x["tpos"].alias("tpos"), F.greatest(a["top"], x["pos"]).alias("top"), (a["n"] + (x["pos"] > a["top"]).cast("long")).alias("n"))
+        return F.when(x["tpos"] == a["tpos"], a).otherwise(on)
+
+    rising = F.aggregate(F.array_sort(places), nothing, walk)["n"]
+    counted = diagonals.withColumn("near", F.when(~F.col("exact"), near)).withColumn("n", F.when(F.col("exact"), F.size("held")).otherwise(rising))
+    counted = counted.withColumn("covered", F.col("n") / F.col("n_grams"))
+    enough = F.when(F.col("exact"), F.col("n") == F.col("n_grams")).otherwise(F.col("covered") >= coverage)
+    spans = counted.where((F.col("tid") < 0) | enough).select(*kind, "diagonal", "covered")
+    apart = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > gap), F.lit(True))
+    numbered = spans.withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.min_by("diagonal", F.struct(-F.col("covered"), "diagonal"))
+    return numbered.groupBy(*kind, "span").agg(best.alias("start"), F.max("covered").alias("covered")).select(*kind[:-1], "start", "covered")
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:

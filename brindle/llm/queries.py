@@ -144,12 +144,15 @@ t(tid, label, exact, w) AS (VALUES {rows}),
 tg AS (SELECT tid, label, exact, len(w) - 2 AS n, i AS tpos, w[i + 1:i + 3] AS g FROM (SELECT *, unnest(range(0, len(w) - 2)) AS i FROM t)),
 dg AS (SELECT r, i AS pos, w[i + 1:i + 3] AS g FROM (SELECT r, w, unnest(range(0, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
 m AS MATERIALIZED (SELECT r, tid, label, exact, n, tpos, pos - tpos AS diagonal FROM dg JOIN tg USING (g)),
-s AS (SELECT r, tid, diagonal, sum(CASE WHEN exact OR before IS NULL OR diagonal - before > 3 THEN 1 ELSE 0 END)
-          OVER (PARTITION BY r, tid ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span
-      FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, tid ORDER BY diagonal) AS before FROM (SELECT DISTINCT r, tid, exact, diagonal FROM m))),
-found AS (SELECT r, label, exact, min(diagonal) AS start, CAST(count(DISTINCT tpos) AS DOUBLE) / n AS covered
-      FROM m JOIN s USING (r, tid, diagonal) GROUP BY r, tid, label, exact, n, span
-      HAVING CASE WHEN exact THEN count(DISTINCT tpos) = n ELSE CAST(count(DISTINCT tpos) AS DOUBLE) / n >= 0.75 END)
+dd AS (SELECT DISTINCT r, tid, label, exact, n, diagonal FROM m),
+-- each diagonal with those up to three words on: a template position counts where it first stands, if beyond all before
+near AS (SELECT r, tid, label, n, dd.diagonal, m.tpos, min(m.tpos + m.diagonal) AS pos FROM dd JOIN m USING (r, tid, label, exact, n)
+         WHERE NOT exact AND m.diagonal BETWEEN dd.diagonal AND dd.diagonal + 3 GROUP BY ALL),
+walk AS (SELECT *, coalesce(max(pos) OVER (PARTITION BY r, tid, diagonal ORDER BY tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS top FROM near),
+spans AS (SELECT r, label, false AS exact, diagonal AS start, CAST(count(*) FILTER (pos > top) AS DOUBLE) / n AS covered
+         FROM walk GROUP BY r, tid, label, n, diagonal HAVING covered >= 0.75),
+whole AS (SELECT r, label, exact, diagonal AS start, CAST(1 AS DOUBLE) AS covered FROM m WHERE exact GROUP BY r, tid, label, exact, n, diagonal HAVING count(DISTINCT tpos) = n),
+found AS (SELECT * FROM spans UNION ALL SELECT * FROM whole)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word,
        max(start) FILTER (exact) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact), '') AS base_labels,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(covered), 0.0) AS score
