@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import materialize, scratch_path
+from brindle.llm.filters import key_filter, split_rows
 
 MAGIC = b"\x1f\x8b\x08"
 _HEADER_END = b"\r\n\r\n"
@@ -42,31 +43,37 @@ def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def mark_revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """(page_id, url, payload, payload_digest, record_type, refers_to) of each page."""
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each page; a revisit has no payload.
+
+    Payloads of digests that occur once are never shuffled, nor are those of revisits: ids and digests decide first."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-        payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"),
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
+        F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"),
     )
-    # Digests that occur once need no lookup. The join's page side may be split where one digest has many rows.
-    firsts = (
-        rows.where(F.length("payload") >= min_revisit)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .drop("n")
+    digests = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest")
+    firsts = digests.agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null").drop("n")
+    firsts = materialize(firsts.withColumn("key", F.xxhash64("payload_digest")), "firsts")
+    once, more = split_rows(rows, F.xxhash64("payload_digest"), key_filter(firsts, "key"))
+    # Spark may split the rows of one digest, since this side of the join is large and the other has a row a digest.
+    named = more.drop("payload").join(firsts.drop("key"), "payload_digest", "left")
+    named = materialize(named.withColumn("first", F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))), "named")
+    lead = named.where("first").select("payload_digest", "page_id").distinct().withColumn("key", F.xxhash64("payload_digest", "page_id"))
+    lead = materialize(lead, "lead")
+    held = split_rows(more, F.xxhash64("payload_digest", "page_id"), key_filter(lead, "key"))[1]
+    same = (held["payload_digest"] == lead["payload_digest"]) & held["page_id"].eqNullSafe(lead["page_id"])
+    responses = once.union(held.join(lead, same, "left_semi"))
+    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    revisits = named.where("not first").withColumn("payload", F.lit(None).cast("binary"))
+    return responses.select(*names, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).union(
+        revisits.select(*names, F.lit("revisit").alias("record_type"), F.col("first_id").alias("refers_to"))
     )
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(firsts, "payload_digest", "left").select(
-        "page_id", "url", "payload", "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"),
-    )
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str) -> bytes:
-    """One record as a gzip member."""
+def encode_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, kind: str, refers_to: int | None, date: str) -> bytes:
+    """One record as a gzip member; ``size`` is that of the payload, which a revisit does not hold."""
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     body = http if kind == "revisit" else http + payload
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
@@ -105,7 +112,7 @@ def _write(folder: str, date: str, file_bytes: int):
         fs, base = _open(folder)
         stream, path, size, done = None, "", 0, []
         for batch in batches:
-            columns = [batch.column(k) for k in range(6)]
+            columns = [batch.column(k) for k in range(7)]
             for row in range(len(batch)):
                 record = encode_record(*[c[row].as_py() for c in columns], date)
                 if stream is None:
@@ -208,4 +215,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = 4_000_000, with_payloa
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     splits = manifest.where("bytes > 0").select("path", "bytes", starts.alias("start"))
     splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes")))
-    return splits.repartition("path", "start").mapInArrow(_read(with_payload), _RECORD)
+    # A number of its own, since adaptive execution would merge such small rows into one partition.
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    parts = min(-(-total // split_bytes) or 1, 100_000)
+    return splits.repartition(parts, "path", "start").mapInArrow(_read(with_payload), _RECORD)
