@@ -5,9 +5,10 @@ cut, their first piece being the shorter one. Full pieces are sequences by
 themselves. For all others only the histogram of lengths (as many numbers as a
 sequence has tokens) reaches the driver, which plans patterns with multiplicities:
 
-* sums of one, two and three lengths are indexed by hash, and from the longest
-  length down, combinations that fill its gap exactly are consumed as often as
-  every member is still available;
+* sums of pairs and of triples of the lengths there are have hash indexes (a triple
+  is its longest member and the sum of a pair), and from the longest length down the
+  gap is looked up: a single length, then pairs, then triples that fill it exactly
+  are consumed as often as every member is still available;
 * what is left goes best fit: the longest piece that still fits.
 
 A pattern uses up at least one length, so there are few patterns. A piece's rank
@@ -64,6 +65,10 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: i
     return narrow.mapInArrow(_cut(vocabulary, capacity, end_id), _PIECES)
 
 
+#: Rows (length, task, base) that may be broadcast: 24 bytes each.
+MAX_BROADCAST = 500_000
+
+
 def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in order of place, how many sequences) that hold all pieces of ``counts``."""
     left = np.zeros(capacity + 1, np.int64)
@@ -82,35 +87,58 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int
 
     if left[capacity]:
         take((capacity,))
+    index = SumIndex(np.flatnonzero(left[:capacity]), capacity)
     for longest in range(capacity - 1, 0, -1):
         gap = capacity - longest
-        if left[longest]:  # one other
+        if left[longest]:
             take((longest, gap))
-        if left[longest]:  # two others: index of the lengths still there, probed with each one's complement
-            for b in range(min(longest, gap - 1), (gap - 1) // 2, -1):
-                if left[b] and left[gap - b]:
-                    take((longest, b, gap - b))
-                    if not left[longest]:
-                        break
-        if left[longest]:  # three others
-            _triples(left, longest, gap, take)
+        for others in (index.pairs, index.triples):
+            if not left[longest]:
+                break
+            for members in others(gap, longest, left):
+                take((longest, *members))
+                if not left[longest]:
+                    break
     _best_fit(left, capacity, patterns)
     return patterns
 
 
-def _triples(left: np.ndarray, longest: int, gap: int, take) -> None:
-    """Consume b + c + d that fill the gap: pair sums of available lengths are hashed by their complement."""
-    for b in range(min(longest, gap - 2), (gap - 1) // 3, -1):
-        if not left[b]:
-            continue
-        rest = gap - b
-        c = np.arange(min(b, rest - 1), (rest - 1) // 2, -1)
-        for x in c[(left[c] > 0) & (left[rest - c] > 0)].tolist():
-            take((longest, b, x, rest - x))
-            if not left[longest]:
-                return
-            if not left[b]:
-                break
+class SumIndex:
+    """Pairs and triples of lengths by their sum. Whether the members are still available is tested when they are read."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int):
+        #: By sum: the longer members of the pairs, long ones first. At most capacity^2 / 4 entries.
+        self.pair_sums = self._grouped([(x, lengths[(lengths <= x) & (lengths < capacity - x)]) for x in lengths[::-1].tolist()])
+        sums = np.array(sorted(self.pair_sums), np.int64)
+        #: By sum: the longest members of the triples; the rest of the sum is a key of ``pair_sums``.
+        self.triple_sums = self._grouped([(x, sums[(sums <= 2 * x) & (sums < capacity - x)]) for x in lengths[::-1].tolist()])
+
+    @staticmethod
+    def _grouped(rows: list[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
+        if not rows:
+            return {}
+        member = np.repeat([x for x, _ in rows], [len(r) for _, r in rows]).astype(np.int64)
+        total = member + np.concatenate([r for _, r in rows])
+        order = np.argsort(total, kind="stable")
+        keys, starts = np.unique(total[order], return_index=True)
+        return dict(zip(keys.tolist(), np.split(member[order], starts[1:]), strict=True))
+
+    def pairs(self, total: int, most: int, left: np.ndarray) -> Iterator[tuple[int, ...]]:
+        """Available pairs with this sum, of lengths up to ``most``."""
+        longer = self.pair_sums.get(total, np.zeros(0, np.int64))
+        some = longer[(longer <= most) & (left[longer] > 0) & (left[total - longer] > 0)]
+        for b in some.tolist():
+            if left[b] and left[total - b]:
+                yield b, total - b
+
+    def triples(self, total: int, most: int, left: np.ndarray) -> Iterator[tuple[int, ...]]:
+        """Available triples with this sum, of lengths up to ``most``."""
+        for b in self.triple_sums.get(total, np.zeros(0, np.int64)).tolist():
+            if b <= most and left[b]:
+                for c, d in self.pairs(total - b, b, left):
+                    yield b, c, d
+                    if not left[b]:
+                        break
 
 
 def _best_fit(left: np.ndarray, capacity: int, patterns: list[tuple[tuple[int, ...], int]]) -> None:
@@ -170,11 +198,13 @@ def _place(plan):
 def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """``pieces`` (a written table of ``cut_pieces``) with sequence_id and offset."""
     spark = pieces.sparkSession
-    held = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    held = materialize(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "held")
     counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(slots(plan_patterns(counts, capacity)))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if held.count() <= MAX_BROADCAST:
+        bases = F.broadcast(bases)
     ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("base"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(plan), _PLACED)
 
