@@ -1,8 +1,9 @@
 """Media columns: lossless 8-bit PNG in a binary column, and a cosine-transform hash of the samples.
 
-``encode_media`` stores each payload as a grey PNG 64 samples wide; ``read_media``
-walks the stored bytes' chunks, tests each checksum, inflates, undoes the row
-filters with numpy and computes a 64-bit hash of the low-frequency cosine terms.
+``encode_media`` stores each payload as a grey PNG 64 samples wide, each row with the
+filter that leaves the fewest distinct values; ``read_media`` walks the stored bytes'
+chunks, tests each checksum, inflates, undoes the row filters with numpy and computes
+a 64-bit hash of the low-frequency cosine terms, a stretch of rows at a time.
 
 Defined cases: a null text counts as empty; an empty payload is one row of 64
 zeros; equal texts give equal values; a broken image raises ``ValueError`` naming
@@ -38,48 +39,72 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
+def _paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of the three neighbours the one nearest to left + up - corner, in that order if equal."""
+    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+    return np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+
+
+def filtered(rows: np.ndarray) -> np.ndarray:
+    """The rows with their filters' numbers in front: of the five filters each row takes the one after which it has the
+    fewest distinct values, the first of equal ones."""
+    height, width = rows.shape
+    x = np.zeros((height + 1, width + 1), np.int16)
+    x[1:, 1:] = rows
+    now, left, up, corner = x[1:, 1:], x[1:, :-1], x[:-1, 1:], x[:-1, :-1]
+    each = np.stack([now, now - left, now - up, now - (left + up) // 2, now - _paeth(left, up, corner)]).astype(np.uint8)
+    values = np.sort(each, axis=2)
+    kinds = np.argmin((values[:, :, 1:] != values[:, :, :-1]).sum(axis=2), axis=0)
+    return np.hstack([kinds[:, None].astype(np.uint8), each[kinds, np.arange(height)]])
+
+
+#: Rows that are filtered, and terms that are added up, at once.
+STRETCH = 4096
+
+
 def encode_png(payload: bytes, width: int = WIDTH, level: int = 1) -> bytes:
     """A grey 8-bit PNG whose samples are the padded payload."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    filtered = np.zeros((len(rows), width + 1), np.uint8)
-    filtered[:, 0] = FILTER_NONE  # text compresses best unfiltered
-    filtered[:, 1:] = rows
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), level)) + _chunk(b"IEND", b"")
-
-
-def _paeth(left: int, up: int, corner: int) -> int:
-    guess = left + up - corner
-    return min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+    packer, body = zlib.compressobj(level), []
+    for at in range(0, len(rows), STRETCH):
+        before = max(at - 1, 0)  # a row's filter looks at the row above
+        body.append(packer.compress(filtered(rows[before : at + STRETCH])[at - before :].tobytes()))
+    body.append(packer.flush())
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", b"".join(body)) + _chunk(b"IEND", b"")
+
+
+def _sweep(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows of any filters, along anti-diagonals: their samples depend only on the two diagonals before."""
+    height, width = rows.shape
+    x = np.zeros((height + 1, width + 1), np.int16)
+    x[0, 1:] = above
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(d, height - 1) + 1)
+        c = d - r
+        left, up, corner, kind = x[r + 1, c], x[r, c + 1], x[r, c], kinds[r]
+        guess = np.select([kind == FILTER_SUB, kind == FILTER_UP, kind == FILTER_AVERAGE, kind == FILTER_PAETH], [left, up, (left + up) // 2, _paeth(left, up, corner)], 0)
+        x[r + 1, c + 1] = (rows[r, c] + guess) & 255
+    return x[1:, 1:].astype(np.uint8)
 
 
 def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Samples of a grey 8-bit image from its filtered rows; row by row only where a filter needs it."""
-    if not kinds.any():
-        return rows
-    if (kinds == FILTER_SUB).all():
-        return np.cumsum(rows, axis=1, dtype=np.uint8)
-    if (kinds == FILTER_UP).all():
-        return np.cumsum(rows, axis=0, dtype=np.uint8)
+    """Samples of a grey 8-bit image from its filtered rows."""
+    if len(kinds) and kinds.max() > FILTER_PAETH:
+        raise ValueError(f"unknown row filter {kinds.max()}")
     out = rows.copy()
-    before = np.zeros(rows.shape[1], np.uint8)
-    for k, kind in enumerate(kinds.tolist()):
-        row = out[k]
-        if kind == FILTER_SUB:
-            np.cumsum(row, dtype=np.uint8, out=row)
-        elif kind == FILTER_UP:
-            row += before
-        elif kind in (FILTER_AVERAGE, FILTER_PAETH):
-            left = corner = 0
-            above, values = before.tolist(), row.tolist()
-            for x, up in enumerate(above):
-                add = (left + up) // 2 if kind == FILTER_AVERAGE else _paeth(left, up, corner)
-                values[x] = left = (values[x] + add) & 255
-                corner = up
-            row[:] = values
-        elif kind != FILTER_NONE:
-            raise ValueError(f"unknown row filter {kind}")
-        before = row
+    sub = kinds == FILTER_SUB
+    if sub.any():
+        out[sub] = np.cumsum(rows[sub], axis=1, dtype=np.uint8)
+    # What is left needs the row above: runs of such rows, those of the Up filter alone as sums by column.
+    needs = kinds > FILTER_SUB
+    edges = np.flatnonzero(np.diff(np.r_[False, needs, False].astype(np.int8)))
+    for a, b in edges.reshape(-1, 2).tolist():
+        above = out[a - 1] if a else np.zeros(rows.shape[1], np.uint8)
+        if (kinds[a:b] == FILTER_UP).all():
+            out[a:b] = np.cumsum(np.vstack([above, rows[a:b]]), axis=0, dtype=np.uint8)[1:]
+        else:
+            out[a:b] = _sweep(kinds[a:b], rows[a:b], above)
     return out
 
 
@@ -113,16 +138,21 @@ def decode_png(data: bytes) -> np.ndarray:
     return unfilter(raw[:, 0], raw[:, 1:])
 
 
-@functools.lru_cache(512)
-def _cosines(n: int) -> np.ndarray:
-    """The TERMS cosine terms after the constant one, over n samples."""
-    return np.cos(np.pi / n * (np.arange(n) + 0.5)[None, :] * np.arange(1, TERMS + 1)[:, None]) / n
+@functools.lru_cache(256)
+def _cosines(n: int, start: int, end: int) -> np.ndarray:
+    """The TERMS cosine terms after the constant one, over the samples from start to end of n."""
+    return np.cos(np.pi / n * (np.arange(start, end) + 0.5)[None, :] * np.arange(1, TERMS + 1)[:, None]) / n
 
 
 def cosine_hash(samples: np.ndarray) -> bytes:
     """64 bits: which low-frequency cosine terms exceed their median."""
-    terms = _cosines(samples.shape[0]) @ samples.astype(np.float64) @ _cosines(samples.shape[1]).T
-    terms = np.round(terms, 9).ravel()
+    height, width = samples.shape
+    terms, step = np.zeros((TERMS, width)), STRETCH // 8
+    for at in range(0, height, step):
+        end = min(at + step, height)
+        cosines = _cosines if height <= step else _cosines.__wrapped__  # tall pictures keep nothing
+        terms += cosines(height, at, end) @ samples[at:end].astype(np.float64)
+    terms = np.round(terms @ _cosines(width, 0, width).T, 9).ravel()
     return np.packbits(terms > np.median(terms)).tobytes()
 
 
