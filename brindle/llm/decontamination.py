@@ -3,34 +3,37 @@
 Items are cut into windows of ``window`` words (a shorter item is one window), and
 windows into shingles of three words (fewer where the window is shorter):
 
-1. The texts' shingles are joined to the windows' shingles, and the occurrences
-   written to a table. Their counts give the rarity of each shingle.
-2. A window can only occur where its rarest shingle does. That prefix of each
-   window is joined to the occurrences; the start it implies must leave room for
-   the whole window (bounds of position and length).
-3. Candidates are verified: the run of consecutive shingles at the start, taken
-   from the occurrences, must equal the window's shingles.
-
-Item tables are broadcast only below ``MAX_BROADCAST`` rows, and joined by a
+1. One pass counts, in all texts, the shingles that windows have; only counts are
+   shuffled. They order the shingles by rarity.
+2. A window is contained whole or not at all, so its necessary prefix is its rarest
+   shingle; a window with a shingle that no text has cannot occur. A second pass
+   joins the texts to these prefixes alone. The start that an occurrence implies must
+   leave room for the whole window (bounds of position and length).
+3. Candidates are verified at their start: the words of the text there must be the
+   window's. Texts without a candidate are not looked at again.
+
+What a text holds depends on the text alone, so equal texts (by SHA-256) are verified
+once. Item tables are broadcast up to ``MAX_BROADCAST`` bytes, and joined by a
 shuffle beyond.
 
 Defined cases: a null or empty text or item has no words; a null id stays null
-(a null item id counts as an empty text); repeated documents are examined each,
+(a null item id counts as an empty text); repeated documents are reported each,
 items with the same id count once; empty tables give no hits; extra columns of
-either input are ignored.
+either input are ignored; the words of a very long text are held by its row alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import materialize
 from brindle.llm.words import word_rows, words
 
 SHINGLE = 3
-#: Rows of an item-side table that may be broadcast: at about 100 bytes each, 20 MB.
-MAX_BROADCAST = 200_000
+#: Bytes of an item-side table that may be broadcast.
+MAX_BROADCAST = 32_000_000
+_PARTS = ("a", "b", "c")
 _SENTINEL_KEY = 0
 
 
@@ -50,96 +53,122 @@ def item_windows(items: DataFrame, window: int = 10) -> DataFrame:
 
 
 def window_shingles(windows: DataFrame) -> DataFrame:
-    """``windows`` with ``shingles``, the array of each window's shingles in order."""
+    """(window, w_words, size, n_shingles, offset, a, b, c): the shingles of distinct windows in order."""
     starts = F.sequence(F.lit(1), F.size("window") - F.col("size") + 1)
-    return windows.withColumn("shingles", F.transform(starts, lambda i: F.array_join(F.slice("window", i, F.col("size")), " ")))
+    each = windows.select("window", F.col("n_words").alias("w_words"), "size", F.size(starts).alias("n_shingles"), F.posexplode(starts).alias("offset", "at"))
+    part = lambda k: F.when(F.col("size") > k, F.element_at("window", F.col("at") + k))
+    return each.select("window", "w_words", "size", "n_shingles", "offset", *[part(k).alias(p) for k, p in enumerate(_PARTS)])
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint, if it is small enough."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
-
-
-def occurrences(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
-    """(row, doc_id, n_words, pos, size, shingle) of each shingle of a text that is in ``shingles``,
-    and a row with pos 0 for each document. Words count from 1."""
-    rows = word_rows(docs, "doc_id", "text")
-    parts = {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c"]}
-    whole = {1: F.lit(True), 2: F.col("b").isNotNull(), 3: F.col("c").isNotNull()}
-    gram = lambda s: F.when(F.col("pos") == 0, F.lit("")).when(whole[s], F.concat_ws(" ", *parts[s]))
-    if len(sizes) == 1:
-        keyed = rows.select("row", "doc_id", "n_words", "pos", F.lit(sizes[0]).alias("size"), gram(sizes[0]).alias("shingle"))
-    else:
-        each = F.explode(F.array(*[F.struct(F.lit(s).alias("size"), gram(s).alias("shingle")) for s in sizes])).alias("z")
-        keyed = rows.select("row", "doc_id", "n_words", "pos", each).select("row", "doc_id", "n_words", "pos", "z.*")
-        keyed = keyed.where((F.col("pos") > 0) | (F.col("size") == sizes[0]))
-    return keyed.join(shingles, ["size", "shingle"]).select("row", "doc_id", "n_words", "pos", "size", "shingle")
-
-
-def find_windows(occ: DataFrame, shingled: DataFrame) -> DataFrame:
-    """(row, start, n_words, window) of each place where a whole window stands in a text."""
-    seen = occ.where("pos > 0")
-    counts = seen.groupBy("size", "shingle").agg(F.count(F.lit(1)).alias("n"))
-    each = shingled.select("window", F.col("n_words").alias("w_words"), "size", F.size("shingles").alias("n_shingles"), F.posexplode("shingles").alias("offset", "shingle"))
-    # Order by rarity: the rarest shingle is the prefix; a window with one that no text has cannot occur.
-    prefix = (
-        each.join(counts, ["size", "shingle"])
-        .groupBy("window", "w_words", "size", "n_shingles")
-        .agg(F.count(F.lit(1)).alias("present"), F.min_by(F.struct("offset", "shingle"), F.struct("n", "offset")).alias("rarest"))
+    """A written table with a broadcast hint, if its rows take no more than ``MAX_BROADCAST`` bytes."""
+    text = lambda c, kind: F.octet_length(F.array_join(c, " ") if kind.startswith("array") else F.col(c))
+    texts = [F.coalesce(text(c, kind), F.lit(0)) for c, kind in df.dtypes if "string" in kind]
+    size = df.agg(F.sum(sum(texts, F.lit(24 * len(df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= MAX_BROADCAST else df
+
+
+def _key() -> Column:
+    return F.xxhash64(*_PARTS)
+
+
+def text_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(digest, doc_id, n_words, pos, h, a, b, c) of each shingle of the sizes of each text, and a row with pos 0 and the
+    sentinel's key for each document. Words count from 1. ``docs`` has doc_id, text and digest."""
+    rows = word_rows(docs, "text", "digest", "doc_id").drop("row")
+    if sizes != [SHINGLE]:
+        cut = lambda s: F.struct(*[(F.col(p) if k < s else F.lit(None).cast("string")).alias(p) for k, p in enumerate(_PARTS)])
+        last = lambda s: F.col(_PARTS[s - 1]).isNotNull() & ((F.col("pos") > 0) | F.lit(s == sizes[0]))
+        each = F.explode(F.array_compact(F.array(*[F.when(last(s) | (F.col("pos") == 0) & F.lit(s == sizes[0]), cut(s)) for s in sizes]))).alias("z")
+        rows = rows.select("digest", "doc_id", "n_words", "pos", each).select("digest", "doc_id", "n_words", "pos", "z.*")
+    return rows.withColumn("h", F.when(F.col("pos") == 0, F.lit(_SENTINEL_KEY)).otherwise(_key()))
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    """Equal keys and equal words."""
+    condition = left["h"] == right["h"]
+    for p in _PARTS:
+        condition = condition & left[p].eqNullSafe(right[p])
+    return condition
+
+
+def count_shingles(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(a, b, c, n): how often each of ``shingles`` (a, b, c) occurs in the texts."""
+    keyed = _bounded(materialize(shingles.withColumn("h", _key()), "shingles"))
+    texts = text_shingles(docs, sizes).where("pos > 0")
+    return texts.join(keyed, _same(texts, keyed)).groupBy(*[keyed[p] for p in _PARTS]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def prefixes(shingled: DataFrame, counts: DataFrame) -> DataFrame:
+    """(window, w_words, offset, a, b, c): the rarest shingle of each window of which every shingle occurs."""
+    same = shingled["a"].eqNullSafe(counts["a"]) & shingled["b"].eqNullSafe(counts["b"]) & shingled["c"].eqNullSafe(counts["c"])
+    return (
+        shingled.join(counts.withColumnRenamed("n", "occurs"), same)
+        .groupBy("window", "w_words", "n_shingles")
+        .agg(F.count(F.lit(1)).alias("present"), F.min_by(F.struct(shingled["offset"], *[shingled[p] for p in _PARTS]), F.struct("occurs", shingled["offset"])).alias("rarest"))
         .where("present = n_shingles")
-        .select("window", "w_words", "size", "n_shingles", "rarest.offset", "rarest.shingle")
+        .select("window", "w_words", "rarest.*")
     )
+
+
+def find_candidates(docs: DataFrame, prefix: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row per document (start null), and (digest, start, w_words, window) of each place where a window may stand."""
+    spark = docs.sparkSession
+    sentinel = spark.createDataFrame([(None,) * 6], "window array<string>, w_words long, offset int, a string, b string, c string")
+    table = prefix.withColumn("h", _key()).union(sentinel.withColumn("h", F.lit(_SENTINEL_KEY).cast("long")))
+    table = _bounded(materialize(table, "prefixes").withColumnsRenamed({p: f"w{p}" for p in _PARTS}))
+    texts = text_shingles(docs, sizes)
     start = F.col("pos") - F.col("offset")
-    candidates = (
-        seen.join(_bounded(prefix), ["size", "shingle"])
-        .where((start >= 1) & (start + F.col("w_words") - 1 <= F.col("n_words")))
-        .select("row", start.alias("pos"), "size", "n_shingles", "w_words", "window")
-    )
-    # The run of consecutive shingles that starts at each occurrence, as long as some window needs.
-    runs = sorted(r[0] for r in shingled.select(F.size("shingles")).distinct().collect())
-    order = Window.partitionBy("row", "size").orderBy("pos")
-    runs_at = None
-    wanted = _bounded(shingled.select("window", "size", F.array_join("shingles", ",").alias("run")))
-    for n in runs:
-        following = F.array_join(F.array(*[F.lead("shingle", k).over(order) if k else F.col("shingle") for k in range(n)]), ",")
-        unbroken = (F.lead("pos", n - 1).over(order) == F.col("pos") + n - 1) if n > 1 else F.lit(True)
-        whole = seen.select("row", "pos", "size", F.when(unbroken, following).alias("run")).join(wanted, ["size", "run"]).drop("run")
-        runs_at = whole if runs_at is None else runs_at.union(whole)
-    if runs_at is None:
-        runs_at = candidates.select("size", "row", "pos", "window")
-    verified = candidates.join(runs_at, ["row", "pos", "size", "window"])
-    return verified.select("row", F.col("pos").alias("start"), "w_words", "window")
+    words_equal = F.lit(True)
+    for p in _PARTS:
+        words_equal = words_equal & F.col(p).eqNullSafe(F.col(f"w{p}"))
+    itself = (F.col("pos") == 0) & F.col("window").isNull()
+    place = (F.col("pos") > 0) & words_equal & (start >= 1) & (start + F.col("w_words") - 1 <= F.col("n_words"))
+    joined = texts.join(table, (texts["h"] == table["h"]) & (itself | place))
+    return joined.select("digest", "doc_id", "n_words", F.when(F.col("pos") > 0, start).alias("start"), "w_words", "window")
+
+
+def verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(digest, start, w_words, window) of the candidates at whose start the text has the window's words."""
+    places = candidates.where("start is not null").select("digest", F.struct(F.col("start").cast("int").alias("start"), "w_words", "window").alias("p")).distinct()
+    by_text = places.groupBy("digest").agg(F.collect_list("p").alias("places"))  # as many as a text has places
+    texts = docs.join(by_text.select("digest"), "digest", "left_semi").select("digest", "text").dropDuplicates(["digest"])
+    listed = texts.join(by_text, "digest").select("digest", words(F.col("text")).alias("w"), "places")
+    true = F.filter("places", lambda p: F.slice("w", p["start"], p["w_words"].cast("int")) == p["window"])
+    return listed.select("digest", F.explode(true).alias("p")).select("digest", F.col("p.start").cast("long").alias("start"), "p.w_words", "p.window")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document."""
-    windows = materialize(window_shingles(item_windows(items, window)), "windows")
-    distinct = windows.drop("item_id").distinct()
-    sizes = sorted(r[0] for r in distinct.select("size").distinct().collect()) or [SHINGLE]
-    grams = distinct.select("size", F.explode("shingles").alias("shingle")).distinct()
-    sentinel = docs.sparkSession.createDataFrame([(sizes[0], "")], "size int, shingle string")
-    occ = materialize(occurrences(docs, _bounded(grams.union(sentinel)), sizes), "occurrences")
-    found = find_windows(occ, distinct)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    windows = materialize(item_windows(items, window), "windows")
+    shingled = materialize(window_shingles(windows.drop("item_id").distinct()), "shingled")
+    sizes = sorted(r[0] for r in shingled.select("size").distinct().collect()) or [SHINGLE]  # at most SHINGLE numbers
+    counts = materialize(count_shingles(docs, shingled.select(*_PARTS).distinct(), sizes), "counts")
+    candidates = materialize(find_candidates(docs, prefixes(shingled, counts), sizes), "candidates")
+    found = materialize(verified(docs, candidates), "found")
     # Words inside any found window: the windows' union, from their ends in order of start.
-    order = Window.partitionBy("row").orderBy("start", "end")
+    order = Window.partitionBy("digest").orderBy("start", "end")
     reached = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hits = (
-        found.select("row", "start", (F.col("start") + F.col("w_words") - 1).alias("end"))
+        found.select("digest", "start", (F.col("start") + F.col("w_words") - 1).alias("end"))
         .distinct()
         .withColumn("n", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start") - 1, reached)))
-        .groupBy("row")
+        .groupBy("digest")
         .agg(F.sum("n").alias("n_hit"))
     )
     listed = (
-        found.select("row", "window").distinct()
-        .join(_bounded(windows.select("window", "item_id").distinct()), "window")
-        .groupBy("row")
+        found.select("digest", "window").distinct()
+        .join(_bounded(windows.select("window", "item_id")), "window")
+        .groupBy("digest")
         .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
+    results = materialize(hits.join(listed, "digest"), "results")
     empty = F.array().cast("array<string>")
     return (
-        occ.where("pos = 0").select("row", "doc_id", "n_words")
-        .join(hits, "row", "left").join(listed, "row", "left")
+        candidates.where("start is null").select("digest", "doc_id", "n_words")
+        .join(results, "digest", "left")
         .select(
             "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.size(F.coalesce("items", empty)).cast("long").alias("n_items"),
