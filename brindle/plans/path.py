@@ -1,57 +1,16 @@
-"""The execution path of a query: Spark's physical plan as a numbered list of steps."""
+"""The execution path of a query: Spark's own formatted plan, line by line."""
 
 from __future__ import annotations
 
 import contextlib
 import io
-import re
 
 from pyspark.sql import DataFrame
 
-#: Spark's operators by the step they take; joins also name their algorithm.
-_ALGORITHMS = {"BroadcastHashJoin": "hash", "ShuffledHashJoin": "hash", "SortMergeJoin": "merge", "BroadcastNestedLoopJoin": "nested_loop", "CartesianProduct": "nested_loop"}
-_JOIN_TYPES = {"LeftOuter": "left", "RightOuter": "right", "FullOuter": "full", "LeftSemi": "semi", "LeftAnti": "anti", "Cross": "cross", "ExistenceJoin": "existence"}
-
-
-def _step(line: str) -> str | None:
-    name, _, rest = line.partition(" ")
-    if name in ("FileScan", "Scan", "LocalTableScan", "BatchScan"):
-        filters = re.search(r"PushedFilters: \[(.*?)\](?:, ReadSchema|$)", rest)
-        where = filters[1] if filters else ""
-        empty = ", always_empty=true" if re.search(r"<empty>", rest) else ""
-        read = re.search(r"ReadSchema: struct<(.*?)>", rest)
-        return f"SCAN(columns=[{re.sub(':[^,]*', '', read[1]) if read else ''}]" + (f", filter={where}" if where else "") + empty + ")"
-    if name in _ALGORITHMS:
-        kind = next((v for k, v in _JOIN_TYPES.items() if re.search(rf"\b{k}\b", rest)), "cross" if name == "CartesianProduct" else "inner")
-        keys = re.findall(r"\[(.*?)\]", rest)[:2]
-        on = f", on={keys[0]} = {keys[1]}" if len(keys) == 2 and name not in ("BroadcastNestedLoopJoin", "CartesianProduct") else ""
-        return f"JOIN(type={kind}, algo={_ALGORITHMS[name]}{on})"
-    if name == "Filter":
-        return f"FILTER({rest.strip()})"
-    if name in ("HashAggregate", "SortAggregate", "ObjectHashAggregate"):
-        keys, calls = re.search(r"keys=\[(.*?)\]", rest), re.search(r"functions=\[(.*?)\](?:,|\))", rest)
-        if calls and "partial_" in calls[1]:
-            return None
-        return f"AGGREGATE(groups=[{keys[1] if keys else ''}], calls=[{calls[1] if calls else ''}])" if calls and calls[1] else f"DISTINCT({keys[1] if keys else ''})"
-    if name == "Sort" and ", true, " in rest:
-        return f"SORT(by={rest[: rest.rindex(']') + 1]})"
-    if name == "TakeOrderedAndProject":
-        return f"TOP({rest.strip('()')})"
-    if name in ("GlobalLimit", "CollectLimit", "LocalLimit"):
-        return None if name == "LocalLimit" else f"LIMIT({rest.split(',')[0]})"
-    if name == "Project":
-        return f"SELECT(cols={rest})"
-    return None
-
 
 def execution_path(df: DataFrame) -> list[str]:
-    """Steps from the scans up, each with a number. Nothing is executed."""
+    """Lines of the physical plan with its numbered operators. Nothing is executed."""
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
-        df.explain()
-    steps = []
-    for line in reversed(out.getvalue().splitlines()):
-        plain = re.sub(r"^[\s:+\-]*(\*\(\d+\) ?)?", "", line)
-        if step := _step(re.sub(r"#\d+L?", "", plain)):
-            steps.append(step)
-    return [f"{k}. {s}" for k, s in enumerate(steps, 1)]
+        df.explain("formatted")
+    return [line for line in out.getvalue().splitlines() if line.strip()]

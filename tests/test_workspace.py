@@ -224,7 +224,7 @@ def test_script(spark, tmp_path):
     assert run_script(w, SCRIPT, out.append) == 0, out
     text = "\n".join(out)
     assert "COUNT(*)" in text and "AVG(grade)" in text and "COUNT_DISTINCT(team, state)" in text
-    assert "JOIN(type=semi" in text and "16 statements, 0 failed" in text
+    assert "LeftSemi" in text and "TakeOrderedAndProject" in text and "16 statements, 0 failed" in text
     assert rows(w, "people", "id", "grade", "state") == [(1, 88, "ok"), (2, 40, "ok"), (3, 95, "fail")]
     assert isinstance(execute(w, "SELECT * FROM people"), DataFrame)
 
