@@ -6,29 +6,35 @@ shingles link if they share T = ceil(0.75 (x + y) / 1.75) of them.
 
 1. Rarity: every task counts its shingles in a sketch of fixed size; the merged
    sketch (broadcast, as one byte a counter) orders all shingles, rare ones first.
-2. DivideSkip's split: of a class's inverted lists the longest T - 1 can be set
-   aside, since a partner must then be in one of the others. These short lists are
-   built by a shuffle of packed postings. In each partition a query class merges
-   its short lists with a heap and so finds its candidates.
-3. Candidates probe the lists set aside: the smaller set's shingles are looked up
-   in the other by binary search, until T is reached or out of reach.
-
-Large groups of near copies are not expanded into all pairs: a list first offers
-each member to one pivot of a size that fits. Members that links have joined need
-no further test; later rounds take other pivots for lists that still span several
-components, and the last round tests every pair left, so no link is missed. A list
-of a very frequent shingle is split over partitions.
+2. Candidates: of a class's inverted lists the T - 1 of the most frequent shingles
+   are left out, since a partner must then be in one of the others. These lists are
+   built by a shuffle of packed postings. A list of two is one candidate pair. In a
+   longer list one member, that with the fewest rarer shingles, is the pivot; each
+   member merges the lists that offer it pivots and is tested against the one that
+   it shares most of them with: one pair a member. What links forms components.
+3. Lists that still span components are searched by DivideSkip. Their members are
+   placed in blocks of bounded size, each an inverted index over whole sets. A
+   member that is not in its list's main component is a query of all blocks that
+   hold members of its lists: it merges the short lists by a heap, keeps what
+   reaches T less the number of long ones, probes those by binary search, and links
+   with what reaches T. A block names a link only if it joins two components.
+
+So rows are linear in members and blocks: near copies are not expanded into all
+pairs. The work inside blocks is not: of m members that are in no component with
+each other, all m^2 / 2 counts are merged, block by block.
 
 Defined cases: a null or empty text has no shingles and is its own component; with
 fewer than five words the whole sequence is one shingle; copies and repeated rows
 share a component; a null id is no smallest id, unless a component has no other;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns are ignored; very long texts
+are hashed a stretch at a time. Words are told apart by 64-bit hashes, and so are
+shingles and classes (d different ones share one with probability d^2 / 2^65).
 """
 
 from __future__ import annotations
 
 import heapq
-import uuid
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -39,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, parallel_tasks, scratch_path
+from brindle.llm.common import bucketed, materialize, parallel_tasks
 from brindle.llm.components import connected
 from brindle.llm.filters import holds, key_filter
 from brindle.llm.packed import mixed, pack, small, unpack
@@ -52,7 +58,12 @@ _BLOCKS = 256
 #: A shingle of which a sketch counter holds this much, and this many times the mean, has its list split.
 HOT_COUNT, HOT_FACTOR = 1_000_000, 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_FLUSH = 2_000_000
+#: Postings that a task holds before it sends them.
+_FLUSH = 1_000_000
+#: Shingles of the members, and of the queries, that meet in one task; pairs of one class that share a copy of its set.
+BLOCK, HOT_PAIRS = 500_000, 256
+#: DivideSkip's weight of a long list against a short one.
+MU = 0.01
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -152,7 +163,7 @@ def _post(sketch, parts: int, hot_level: int):
 
         def closed() -> pa.RecordBatch:
             token, cls = np.concatenate(tokens), np.repeat(np.array(classes, np.uint64), [len(t) for t in tokens])
-            size = np.repeat(np.array(sizes, np.int64), [len(t) for t in tokens])
+            size = np.repeat(np.array(sizes, np.int32), [len(t) for t in tokens])
             rest = np.concatenate(rests)
             hot = levels[(token % np.uint64(COUNTERS)).astype(np.int64)] >= hot_level
             salt = np.where(hot, mixed(cls) % np.uint64(parts), np.uint64(0))
@@ -180,7 +191,7 @@ def _post(sketch, parts: int, hot_level: int):
                 tokens.append(found[order])
                 classes.append(cls)
                 sizes.append(n)
-                rests.append(n - np.arange(keep))
+                rests.append(n - np.arange(keep, dtype=np.int32))
                 held += keep
                 if held > _FLUSH:
                     yield closed()
@@ -191,16 +202,18 @@ def _post(sketch, parts: int, hot_level: int):
     return run
 
 
-def _pivots(cls: np.ndarray, size: np.ndarray, rest: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """For one list, ordered by size: pivots, and the members each is to be tested with; a member has one pivot at most."""
-    out, a = [], 0
+def _pivots(cls: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For one list, ordered by size: pivots, and the members that may link with each. Of the members whose sizes allow
+    links among them, the pivot is that of which the list leaves out least, as in a group of edited copies the original."""
+    a = 0
     while a < len(cls):
         end = int(np.searchsorted(size, size[a] * 100 // 75, side="right"))
-        fit = np.minimum(rest[a], rest[a + 1 : end]) >= required(size[a], size[a + 1 : end])
+        p = a + int(np.lexsort((cls[a:end], -rest[a:end] / size[a:end]))[0])
+        fit = np.minimum(rest[p], rest[a:end]) >= required(size[p], size[a:end])
+        fit[p - a] = False
         if fit.any():
-            out.append((int(cls[a]), np.sort(cls[a + 1 : end][fit])))
+            yield int(cls[p]), cls[a:end][fit]
         a = end
-    return out
 
 
 def _paired(size: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -219,6 +232,7 @@ def heap_merge(lists: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(c, sum(1 for _ in same)) for c, same in groupby(heapq.merge(*[x.tolist() for x in lists]))]
 
 
+#: Kind 0: a candidate pair (a, b); 1: a member a of a longer list; 2: a pivot b that ``shared`` of a's lists offer.
 _FOUND = "kind int, token long, a long, b long, n long, rest long, shared long"
 
 
@@ -226,50 +240,56 @@ def _signed_all(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def _table(kind: int, **columns) -> pd.DataFrame:
+    return pd.DataFrame({x.split()[0]: columns.get(x.split()[0], 0) for x in _FOUND.split(", ")} | {"kind": kind})
+
+
 def _search(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     got = [[unpack(x) for x in (r.tokens, r.classes, r.sizes, r.rests)] for t in tables for r in t.itertuples()]
     hot = bool(key[1])
     token, cls, size, rest = (np.concatenate([g[k] for g in got]) for k in range(4))
-    size, rest = size.astype(np.int64), rest.astype(np.int64)
+    del got
     order = np.lexsort((cls, size, token))
-    token, cls, size, rest = token[order], cls[order], size[order], rest[order]
+    token, cls, size, rest = token[order], cls[order], size[order].astype(np.int64), rest[order].astype(np.int64)
     new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
     token, cls, size, rest = token[new], cls[new], size[new], rest[new]
     lead = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[lead, len(token)])
-    queries: dict[int, list[np.ndarray]] = {}
     # Lists of two are one pair each, if their rests are long enough.
     two = lead[length == 2] if not hot else lead[:0]
     two = two[np.minimum(rest[two], rest[two + 1]) >= required(size[two], size[two + 1])]
-    order = np.lexsort((cls[two + 1], cls[two]))
-    a, b = cls[two][order], cls[two + 1][order]
-    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-    pairs = [(a[starts], b[starts], np.diff(np.r_[starts, len(a)]))]
+    low, high = np.minimum(cls[two], cls[two + 1]), np.maximum(cls[two], cls[two + 1])
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])] if len(low) else np.zeros(0, bool)
+    yield _table(0, a=_signed_all(low[new]), b=_signed_all(high[new]))
     # Longer lists with the same members are one, with the longest rest of each member.
     more = np.flatnonzero((length > 2) | hot)
     alike: dict[bytes, list[int]] = {}
     for k in more.tolist():
         alike.setdefault(token[lead[k] : lead[k] + 1].tobytes() if hot else cls[lead[k] : lead[k] + length[k]].tobytes(), []).append(k)
-    rows = []
+    rows, offers = [], []
     for lists in alike.values():
         s = slice(lead[lists[0]], lead[lists[0]] + length[lists[0]])
         longest = np.max([rest[lead[k] : lead[k] + length[k]] for k in lists], axis=0)
         for pivot, others in _pivots(cls[s], size[s], longest):
-            queries.setdefault(pivot, []).extend([others] * len(lists))
+            offers.append((others, np.full(len(others), pivot, np.uint64), np.full(len(others), len(lists))))
         keep = np.ones(len(longest), bool) if hot else _paired(size[s], longest)
         if keep.any():
             rows.append((token[s][keep], cls[s][keep], size[s][keep], longest[keep]))
-    merged = [(p, c, n) for p, lists in queries.items() for c, n in heap_merge(lists)]
-    pairs.append(tuple(np.array([m[k] for m in merged], np.uint64) for k in range(3)))
-    a, b, n = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-    yield pd.DataFrame({"kind": 0, "token": 0, "a": _signed_all(a), "b": _signed_all(b), "n": 0, "rest": 0, "shared": n.astype(np.int64)})
     if rows:
         token, cls, size, rest = (np.concatenate([r[k] for r in rows]) for k in range(4))
-        yield pd.DataFrame({"kind": 1, "token": _signed_all(token), "a": _signed_all(cls), "b": 0, "n": size, "rest": rest, "shared": 0})
+        yield _table(1, token=_signed_all(token), a=_signed_all(cls), n=size, rest=rest)
+    if offers:
+        member, pivot, shared = (np.concatenate([o[k] for o in offers]) for k in range(3))
+        order = np.lexsort((pivot, member))
+        member, pivot, shared = member[order], pivot[order], shared[order]
+        at = np.flatnonzero(np.r_[True, (member[1:] != member[:-1]) | (pivot[1:] != pivot[:-1])])
+        yield _table(2, a=_signed_all(member[at]), b=_signed_all(pivot[at]), shared=np.add.reduceat(shared, at))
 
 
 def short_lists(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
-    """Kind 0: candidate pairs (a, b); kind 1: members (token, a, n, rest) of lists whose pairs are not all among them."""
+    """The candidates, members of longer lists and offered pivots of all short lists, by kind as in ``_FOUND``."""
     spark = docs.sparkSession
     parts = int(max(parallel_tasks(spark), total // 6_000_000))
     hot = max(HOT_COUNT, HOT_FACTOR * total // COUNTERS)
@@ -303,16 +323,12 @@ def class_sets(docs: DataFrame, active: DataFrame, total: int) -> DataFrame:
     """(class, doc_id, hashes) of the classes in ``active`` (class, first_id), and some more. The row of a class is that of
     its first id. Two filters of fixed size choose the texts; the table is bucketed, so that joins with it shuffle only
     their other side."""
-    spark = docs.sparkSession
     classes, ids = key_filter(active, "class"), key_filter(active, "first_id")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = narrow.mapInArrow(_emit_sets(classes, ids), "class long, doc_id long, hashes binary")
-    name = f"brindle_sets_{uuid.uuid4().hex}"
-    buckets = int(min(max(parallel_tasks(spark), total // 8_000_000), 100_000))
+    buckets = int(min(max(parallel_tasks(docs.sparkSession), total // 8_000_000), 100_000))
     # One shuffle here leaves one file a bucket, and saves one in every later join.
-    writer = sets.repartition(buckets, "class", "doc_id").write.bucketBy(buckets, "class", "doc_id").option("path", scratch_path(spark, "sets"))
-    writer.format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(sets.repartition(buckets, "class", "doc_id"), "sets", buckets, "class", "doc_id")
 
 
 def links_of(a: np.ndarray, b: np.ndarray) -> bool:
@@ -336,73 +352,135 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, linked) of candidate pairs."""
+    """(a, b, linked) of candidate pairs. A class that is b of many pairs has a copy of its set for each HOT_PAIRS of them."""
     first = lambda c: classes.select(F.col("class").alias(c), F.col("first_id").alias(f"{c}_id"))
-    named = pairs.select("a", "b").join(first("a"), "a").join(first("b"), "b")
-    side = lambda c, v: sets.select(F.col("class").alias(c), F.col("doc_id").alias(f"{c}_id"), F.col("hashes").alias(v))
-    held = named.join(side("a", "x").hint("merge"), ["a", "a_id"]).join(side("b", "y").hint("merge"), ["b", "b_id"])
-    return held.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, linked boolean")
-
-
-def _fits(x: str, y: str) -> Column:
-    """Sizes allow a link, and so do the shingles left from the list's on: if it is the rarest one shared, no more can be."""
-    nx, ny = f"{x}n", f"{y}n"
-    return F.expr(f"100 * least({nx}, {ny}) >= 75 * greatest({nx}, {ny}) and least({x}rest, {y}rest) >= (75 * ({nx} + {ny}) + 174) div 175")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-
-def _open_pairs(members: DataFrame, labels: DataFrame, turn: int, most: int | None) -> DataFrame | None:
-    """Pairs still to be tested: in lists that span components, those of a pivot, and all of lists of at most ``most`` members."""
-    known = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left")
-    known = materialize(known.withColumn("label", F.coalesce("label", "a")), "members")
-    spans = (
-        known.groupBy("token")
-        .agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("length"),
-            F.min_by(F.struct("a", "n", "rest", "label"), F.xxhash64("a", F.lit(turn))).alias("pivot"), F.mode("label", True).alias("major"),
-        )
-        .where("low <> high")
-    )
-    spans = materialize(spans.select("token", "length", "major", "pivot.*").toDF("token", "length", "major", "p", "p_n", "p_rest", "p_label"), "spans")
-    if spans.isEmpty():
+    of = lambda c, v: sets.select(F.col("class").alias(c), F.col("doc_id").alias(f"{c}_id"), F.col("hashes").alias(v)).hint("merge")
+    many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PAIRS)
+    many = many.select("b", F.ceil(F.col("n") / HOT_PAIRS).alias("copies"))
+    named = pairs.select("a", "b").join(first("a"), "a").join(first("b"), "b").join(many, "b", "left")
+    named = materialize(named.withColumn("copy", F.pmod(F.xxhash64("a"), "copies")), "named")
+    # Only the pairs move to the sets, then the pairs with one set; of the other sets those of the many pairs alone.
+    filled = named.join(of("a", "x"), ["a", "a_id"])
+    few = filled.where("copies is null").join(of("b", "y"), ["b", "b_id"]).select("a", "b", "x", "y")
+    copies = named.where("copies is not null").select("b", "b_id", "copy").distinct().join(of("b", "y"), ["b", "b_id"])
+    hot = filled.where("copies is not null").join(copies.select("b", "copy", "y"), ["b", "copy"]).select("a", "b", "x", "y")
+    return few.union(hot).mapInArrow(_verify, "a long, b long, linked boolean")
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """Pairs to be tested first: those of lists of two, and each member a with the pivot b that most of its lists offer."""
+    offered = found.where("kind = 2").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    best = offered.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    return found.where("kind = 0").select("a", "b").union(best.select("a", "b")).distinct()
+
+
+class BlockIndex:
+    """Inverted lists of a block of sets, one after the other."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        order = np.argsort(token, kind="stable")  # so that every list is in order of its members
+        self.token, self.owner = token[order], owner[order]
+
+    def lists(self, query: np.ndarray) -> list[np.ndarray]:
+        low, high = np.searchsorted(self.token, query, "left"), np.searchsorted(self.token, query, "right")
+        some = low < high
+        return [self.owner[a:b] for a, b in zip(low[some].tolist(), high[some].tolist(), strict=True)]
+
+
+def divide_skip(lists: list[np.ndarray], needs: np.ndarray) -> np.ndarray:
+    """Members that are in as many of the sorted lists as ``needs`` asks of each (more lists than there are: never).
+
+    The longest lists are set aside. The others are merged by a heap; what occurs in enough of them is looked up in
+    the long ones, until it has what it needs or cannot reach it."""
+    least = int(needs.min())
+    if len(lists) < least:
+        return np.zeros(0, np.int64)
+    lists = sorted(lists, key=len)
+    aside = min(least - 1, int(least / (MU * math.log2(len(lists[-1])) + 1)))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    merged = np.array([x for x in heap_merge(short) if x[1] >= least - aside], np.int64).reshape(-1, 2)
+    member, shared = merged[:, 0], merged[:, 1]
+    for k, members in enumerate(long):
+        open_ = shared + len(long) - k >= needs[member]
+        member, shared = member[open_], shared[open_]
+        if not len(member):
+            break
+        at = np.minimum(np.searchsorted(members, member), len(members) - 1)
+        shared = shared + (members[at] == member)
+    return member[shared >= needs[member]]
+
+
+def _link_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between a block's queries and members that join components, each pair of components once."""
+    rows = rows.sort_values(["query", "a"])
+    sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+    classes, query = rows["a"].to_numpy(), rows["query"].to_numpy()
+    names, label = np.unique(rows["label"].to_numpy(), return_inverse=True)
+    n, links = int((~query).sum()), []
+    if 0 < n < len(sets):
+        index = BlockIndex(sets[:n])
+        for q in range(n, len(sets)):
+            size = len(sets[q])
+            apart = (100 * np.minimum(index.sizes, size) >= 75 * np.maximum(index.sizes, size)) & (label[:n] != label[q])
+            if not apart.any():
+                continue
+            for m in divide_skip(index.lists(sets[q]), np.where(apart, required(index.sizes, size), size + 1)).tolist():
+                if label[m] != label[q]:
+                    links.append((classes[q], classes[m]))
+                    label[label == label[m]] = label[q]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _band(n: Column) -> Column:
+    """Sets that link are in the same band of sizes or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.34))
+
+
+def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) that join components which meet in some list; None if no list spans components."""
+    known = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    tally = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    spans = tally.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("length"))
+    spans = spans.where("parts > 1").select("token", "major", "length")
+    lists = known.join(spans, "token").select("token", "a", "n", "label", "length", (F.col("label") != F.col("major")).alias("query"))
+    lists = materialize(lists, "lists")
+    if lists.isEmpty():
         return None
-    # One of a pair is outside the component that most members of the list are in.
-    every = spans.where("true" if most is None else f"length <= {most}").select("token", "major")
-    mine = known.join(every, "token").where("label <> major").select("token", "major", "label", "a", *[F.col(c).alias(f"x_{c}") for c in ("n", "rest")])
-    other = known.select("token", F.col("label").alias("o_label"), F.col("a").alias("b"), *[F.col(c).alias(f"y_{c}") for c in ("n", "rest")])
-    pairs = mine.join(other, "token").where(F.expr("label < o_label or o_label = major and label <> o_label") & _fits("x_", "y_")).select("a", "b")
-    if most is not None:
-        star = known.join(spans.where(f"length > {most}"), "token").where("label <> p_label")
-        pairs = pairs.union(star.where(_fits("", "p_")).select("a", F.col("p").alias("b")))
-    return _ordered(pairs)
-
-
-#: Lists of up to so many members have all their open pairs tested in the second, third, ... round; None: all lists.
-ROUNDS = (8, 32, None)
+    # A member's block is that of its longest open list and its size.
+    homes = lists.groupBy("a").agg(F.max_by("token", F.struct("length", "token")).alias("home"), F.max("n").alias("n"), F.max("label").alias("label"))
+    homes = homes.withColumn("band", _band(F.col("n")))
+    loads = homes.groupBy("home", "band").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    block = ["home", "band", "part"]
+    placed = homes.join(loads, ["home", "band"]).withColumn("part", F.pmod(F.xxhash64("a"), "parts")).drop("parts")
+    placed = materialize(placed, "placed")
+    # One of two members in different components is outside the main component of their list.
+    where = lists.select("token", "a").join(placed.select("a", *block), "a").select("token", *block).distinct()
+    asked = lists.where("query").select("token", "a", "n", "label", _band(F.col("n")).alias("own"))
+    near = F.abs(F.col("own") - F.col("band")) <= 1
+    routes = materialize(asked.join(where, "token").where(near).select("a", "n", "label", *block).distinct(), "routes")
+    turns = routes.groupBy(*block).agg(F.ceil(F.sum("n") / BLOCK).alias("turns"))
+    queries = routes.join(turns, block).select("a", "label", *block, F.pmod(F.xxhash64("a", F.lit(1)), "turns").alias("turn"), F.lit(True).alias("query"))
+    held = placed.join(turns, block).select("a", "label", *block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("query"))
+    named = queries.union(held).join(classes.select(F.col("class").alias("a"), F.col("first_id").alias("a_id")), "a")
+    filled = named.join(sets.select(F.col("class").alias("a"), F.col("doc_id").alias("a_id"), "hashes").hint("merge"), ["a", "a_id"])
+    return materialize(filled.groupBy(*block, "turn").applyInPandas(_link_block, "a long, b long"), "links")
 
 
 def link_classes(docs: DataFrame, levels: np.ndarray, classes: DataFrame, total: int) -> DataFrame:
     """(node, label) of all classes that link with another; the label is the smallest class of the component."""
     classes = classes.select("class", F.coalesce("first_id", F.lit(0)).alias("first_id"))
     found = short_lists(docs, levels, total)
-    pairs = materialize(_ordered(found.where("kind = 0").select("a", "b")), "pairs")
-    members = found.where("kind = 1").select("token", "a", "n", "rest")
+    pairs = materialize(candidates(found), "pairs")
+    members = found.where("kind = 1").select("token", "a", "n")
     active = members.select("a").union(pairs.select("a")).union(pairs.select("b")).distinct()
     sets = class_sets(docs, active.join(classes, active.a == classes["class"]).select("class", "first_id"), total)
-    tested = materialize(verify(pairs, sets, classes), "tested")
-    labels = connected(tested.where("linked"))
-    for turn, most in enumerate(ROUNDS):
-        pairs = _open_pairs(members, labels, turn, most)
-        if pairs is None:
-            break
-        fresh = materialize(verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, classes), "tested")
-        tested = tested.union(fresh)
-        if not fresh.where("linked").isEmpty():
-            labels = connected(tested.where("linked"))
-    return labels
+    labels = connected(verify(pairs, sets, classes).where("linked").select("a", "b"))
+    fresh = open_links(members, labels, sets, classes)
+    if fresh is None or fresh.isEmpty():
+        return labels
+    return connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(fresh))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
