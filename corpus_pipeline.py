@@ -4,19 +4,25 @@ Quality classifier (rejected documents go), n-gram Jaccard join (one document of
 each group stays), benchmark decontamination (documents with benchmark passages
 go), best-fit packing (the result: one row per piece with its sequence).
 
-Rows are told apart by a hash of id and text, so ids may repeat or be null; rows
-equal in both count as copies of each other in the second stage. Whatever stays is
-never changed by a filtering stage, and keeps all columns of ``documents``.
+Rows are told apart by a 64-bit hash of id and text, so ids may repeat or be null;
+rows equal in both count as copies of each other in the second stage. Whatever stays
+is never changed by a filtering stage, and keeps all columns of ``documents``.
+
+Defined cases: a null or empty text is scored as the classifier scores no words, is
+a near copy of nothing (but rows equal in id and text are one), holds no benchmark
+passage, and is packed as its end id; without labels every score is 0.5, so all
+documents go; an empty table gives an empty table at every stage; extra columns stay,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontamination, jaccard, packing, quality
-from brindle.llm.common import materialize
+from brindle.llm.common import materialize, unused_name
 from brindle.llm.filters import key_filter, split_rows
 
 
@@ -26,35 +32,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _row_key() -> Column:
-    """Tells rows apart even if ids repeat or are null."""
+    """Tells rows apart even if ids repeat or are null: two rows that differ share a key with a probability of 2^-64."""
     return F.xxhash64("doc_id", "text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that with the smallest id (a null one is last), of each group of near copies."""
     found = materialize(jaccard.jaccard_components(docs.select(_row_key().alias("doc_id"), "text")), "components")
-    keys = found.groupBy(F.col("doc_id").alias("_brindle_row")).agg(F.min("component_id").alias("_brindle_group"), F.count(F.lit(1)).alias("n"))
-    copies = keys.where("_brindle_row <> _brindle_group or n > 1").select("_brindle_row", "_brindle_group")
+    keys = found.groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("group"), F.count(F.lit(1)).alias("n"))
+    copies = keys.where("row <> group or n > 1").select("row", "group")
     # Only rows of groups, or that are equal to another, are moved.
-    touched = materialize(copies.union(copies.select("_brindle_group", "_brindle_group")).distinct(), "copies")
-    sure, rest = split_rows(docs.withColumn("_brindle_key", _row_key()), F.col("_brindle_key"), key_filter(touched, "_brindle_row"))
-    named = rest.select("doc_id", "_brindle_key").join(touched, F.col("_brindle_key") == F.col("_brindle_row"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_brindle_row").alias("row"))
-    stay = named.groupBy("_brindle_group").agg(F.min(order)["row"].alias("_brindle_row"))
-    gone = materialize(touched.join(stay, "_brindle_row", "left_anti").select(F.col("_brindle_row").alias("_brindle_key")), "gone")
-    rest = rest.join(gone, "_brindle_key", "left_anti")
-    equal = F.row_number().over(Window.partitionBy("_brindle_key").orderBy(F.lit(1)))
-    rest = rest.withColumn("_brindle_n", equal).where("_brindle_n = 1")
-    return sure.drop("_brindle_key").union(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    touched = materialize(copies.union(copies.select("group", "group")).distinct(), "copies")
+    key = unused_name(docs)
+    sure, rest = split_rows(docs.withColumn(key, _row_key()), F.col(key), key_filter(touched, "row"))
+    named = rest.select(F.col("doc_id").alias("id"), F.col(key).alias("row")).join(touched, "row")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    stay = named.groupBy("group").agg(F.min(order)["row"].alias("row"))
+    gone = materialize(touched.join(stay, "row", "left_anti").select(F.col("row").alias(key)), "gone")
+    # Of rows equal in id and text one stays; each task keeps one before the shuffle.
+    kept, others = rest.join(gone, key, "left_anti"), [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = kept.groupBy(key).agg(*[F.first(f"`{c}`").alias(c) for c in ("doc_id", "text")], F.first(F.struct(*[F.col(f"`{c}`") for c in others])).alias(f"{key}_rest"))
+    columns = [F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"{key}_rest").getField(c).alias(c) for c in docs.columns]
+    return sure.drop(key).union(one.select(*columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item; DataFrame functions only. Spark broadcasts the keys of those that
     go if the written table is small, else it shuffles."""
-    key = _row_key()
-    found = decontamination.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dropped = materialize(found.where("contaminated").select(F.col("doc_id").alias("_brindle_key")), "contaminated")
-    return docs.withColumn("_brindle_key", key).join(dropped, "_brindle_key", "left_anti").drop("_brindle_key")
+    found = decontamination.decontaminate(docs.select(_row_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    key = unused_name(docs)
+    dropped = materialize(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, _row_key()).join(dropped, key, "left_anti").drop(key)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
