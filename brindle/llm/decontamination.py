@@ -10,11 +10,12 @@ windows into shingles of three words (fewer where the window is shorter):
    joins the texts to these prefixes alone. The start that an occurrence implies must
    leave room for the whole window (bounds of position and length).
 3. Candidates are verified at their start: the words of the text there must be the
-   window's. Texts without a candidate are not looked at again.
+   window's.
 
-What a text holds depends on the text alone, so equal texts (by SHA-256) are verified
-once. Item tables are broadcast up to ``MAX_BROADCAST`` bytes, and joined by a
-shuffle beyond.
+Item tables are broadcast up to ``MAX_BROADCAST`` bytes; a candidate's words are then
+cut out as it is found. Beyond that they are joined by a shuffle, and only the texts
+with candidates are read again for their words. What a text holds depends on the text
+alone, so results are joined to the documents by its SHA-256.
 
 Defined cases: a null or empty text or item has no words; a null id stays null
 (a null item id counts as an empty text); repeated documents are reported each,
@@ -60,27 +61,32 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return each.select("window", "w_words", "size", "n_shingles", "offset", *[part(k).alias(p) for k, p in enumerate(_PARTS)])
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written table with a broadcast hint, if its rows take no more than ``MAX_BROADCAST`` bytes."""
+def _fits(df: DataFrame) -> bool:
+    """Whether the rows of a written table take no more than ``MAX_BROADCAST`` bytes."""
     text = lambda c, kind: F.octet_length(F.array_join(c, " ") if kind.startswith("array") else F.col(c))
     texts = [F.coalesce(text(c, kind), F.lit(0)) for c, kind in df.dtypes if "string" in kind]
-    size = df.agg(F.sum(sum(texts, F.lit(24 * len(df.columns))))).first()[0] or 0
-    return F.broadcast(df) if size <= MAX_BROADCAST else df
+    return (df.agg(F.sum(sum(texts, F.lit(24 * len(df.columns))))).first()[0] or 0) <= MAX_BROADCAST
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table, with a broadcast hint if it fits."""
+    return F.broadcast(df) if _fits(df) else df
 
 
 def _key() -> Column:
     return F.xxhash64(*_PARTS)
 
 
-def text_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
+def text_shingles(docs: DataFrame, sizes: list[int], whole: bool = False) -> DataFrame:
     """(digest, doc_id, n_words, pos, h, a, b, c) of each shingle of the sizes of each text, and a row with pos 0 and the
-    sentinel's key for each document. Words count from 1. ``docs`` has doc_id, text and digest."""
-    rows = word_rows(docs, "text", "digest", "doc_id").drop("row")
+    sentinel's key for each document. Words count from 1. ``docs`` has doc_id, text and digest; ``whole`` as in ``word_rows``."""
+    rows = word_rows(docs, "text", "digest", "doc_id", whole=whole).drop("row")
+    same = [c for c in rows.columns if c not in _PARTS]
     if sizes != [SHINGLE]:
         cut = lambda s: F.struct(*[(F.col(p) if k < s else F.lit(None).cast("string")).alias(p) for k, p in enumerate(_PARTS)])
         last = lambda s: F.col(_PARTS[s - 1]).isNotNull() & ((F.col("pos") > 0) | F.lit(s == sizes[0]))
         each = F.explode(F.array_compact(F.array(*[F.when(last(s) | (F.col("pos") == 0) & F.lit(s == sizes[0]), cut(s)) for s in sizes]))).alias("z")
-        rows = rows.select("digest", "doc_id", "n_words", "pos", each).select("digest", "doc_id", "n_words", "pos", "z.*")
+        rows = rows.select(*same, each).select(*same, "z.*")
     return rows.withColumn("h", F.when(F.col("pos") == 0, F.lit(_SENTINEL_KEY)).otherwise(_key()))
 
 
@@ -112,30 +118,39 @@ def prefixes(shingled: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def find_candidates(docs: DataFrame, prefix: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row per document (start null), and (digest, start, w_words, window) of each place where a window may stand."""
+    """A row per document (start null), and (digest, start, w_words, window, found) of each place where a window may stand;
+    ``found``: the words there, or null if they are still to be read."""
     spark = docs.sparkSession
     sentinel = spark.createDataFrame([(None,) * 6], "window array<string>, w_words long, offset int, a string, b string, c string")
     table = prefix.withColumn("h", _key()).union(sentinel.withColumn("h", F.lit(_SENTINEL_KEY).cast("long")))
-    table = _bounded(materialize(table, "prefixes").withColumnsRenamed({p: f"w{p}" for p in _PARTS}))
-    texts = text_shingles(docs, sizes)
+    table = materialize(table, "prefixes").withColumnsRenamed({p: f"w{p}" for p in _PARTS})
+    small = _fits(table)
+    texts = text_shingles(docs, sizes, whole=small)
     start = F.col("pos") - F.col("offset")
     words_equal = F.lit(True)
     for p in _PARTS:
         words_equal = words_equal & F.col(p).eqNullSafe(F.col(f"w{p}"))
     itself = (F.col("pos") == 0) & F.col("window").isNull()
     place = (F.col("pos") > 0) & words_equal & (start >= 1) & (start + F.col("w_words") - 1 <= F.col("n_words"))
-    joined = texts.join(table, (texts["h"] == table["h"]) & (itself | place))
-    return joined.select("digest", "doc_id", "n_words", F.when(F.col("pos") > 0, start).alias("start"), "w_words", "window")
+    joined = texts.join(F.broadcast(table) if small else table, (texts["h"] == table["h"]) & (itself | place))
+    found = F.slice("w", start.cast("int") + 1, F.col("w_words").cast("int")) if small else F.lit(None).cast("array<string>")
+    at = F.col("pos") > 0
+    return joined.select("digest", "doc_id", "n_words", F.when(at, start).alias("start"), "w_words", "window", F.when(at, found).alias("found"))
 
 
 def verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(digest, start, w_words, window) of the candidates at whose start the text has the window's words."""
-    places = candidates.where("start is not null").select("digest", F.struct(F.col("start").cast("int").alias("start"), "w_words", "window").alias("p")).distinct()
+    read = candidates.where("start is not null and found = window").select("digest", "start", "w_words", "window")
+    places = candidates.where("start is not null and found is null")
+    places = places.select("digest", F.struct(F.col("start").cast("int").alias("start"), "w_words", "window").alias("p")).distinct()
+    if places.isEmpty():
+        return read
     by_text = places.groupBy("digest").agg(F.collect_list("p").alias("places"))  # as many as a text has places
     texts = docs.join(by_text.select("digest"), "digest", "left_semi").select("digest", "text").dropDuplicates(["digest"])
     listed = texts.join(by_text, "digest").select("digest", words(F.col("text")).alias("w"), "places")
     true = F.filter("places", lambda p: F.slice("w", p["start"], p["w_words"].cast("int")) == p["window"])
-    return listed.select("digest", F.explode(true).alias("p")).select("digest", F.col("p.start").cast("long").alias("start"), "p.w_words", "p.window")
+    late = listed.select("digest", F.explode(true).alias("p")).select("digest", F.col("p.start").cast("long").alias("start"), "p.w_words", "p.window")
+    return read.union(late)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -168,7 +183,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     empty = F.array().cast("array<string>")
     return (
         candidates.where("start is null").select("digest", "doc_id", "n_words")
-        .join(results, "digest", "left")
+        .join(_bounded(results), "digest", "left")
         .select(
             "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.size(F.coalesce("items", empty)).cast("long").alias("n_items"),
