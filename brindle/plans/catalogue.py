@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -9,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import aggregates, joins, ordering, violations
-from brindle.plans.statements import execute
-from brindle.plans.workspace import Workspace
+from brindle.plans.statements import execute, run_script
+from brindle.plans.workspace import ConstraintError, Workspace
 from brindle.session import shared_dir
+from brindle.sources import csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -458,14 +460,33 @@ def sub_nested(spark: SparkSession, d: str) -> DataFrame:
     return joins.exists_in(n, busy, n.n_nationkey == busy.s_nationkey).select("n_name")
 
 
-def changed(spark: SparkSession, d: str, *changes: str) -> DataFrame:
-    """The suppliers as a table of a new workspace in the shared folder, after the changes (SQL text)."""
-    ws = Workspace(spark, f"{shared_dir(spark)}/brindle/workspace-{uuid.uuid4().hex}")
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
+
+
+def filled(spark: SparkSession, d: str, *changes: str) -> Workspace:
+    """A new workspace in the shared folder with the suppliers as a table, after the changes (SQL text)."""
+    ws = Workspace(spark, fresh_path(spark, "workspace"))
     execute(ws, "CREATE TABLE s (s_suppkey INT PRIMARY KEY, s_name VARCHAR(40) NOT NULL, s_nationkey INT CHECK (s_nationkey >= 0), s_acctbal DOUBLE)")
     ws.insert("s", table(spark, d, "supplier"), ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
     for change in changes:
         execute(ws, change)
-    return ws.table("s")
+    return ws
+
+
+def changed(spark: SparkSession, d: str, *changes: str) -> DataFrame:
+    return filled(spark, d, *changes).table("s")
+
+
+def refused(ws: Workspace, *changes: str) -> int:
+    """How many of the changes break a constraint."""
+    n = 0
+    for change in changes:
+        with contextlib.suppress(ConstraintError):
+            execute(ws, change)
+            continue
+        n += 1
+    return n
 
 
 _SUPPLIER = "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal"
@@ -528,7 +549,7 @@ def ddl_alter_type(spark: SparkSession, d: str) -> DataFrame:
 )
 def sql_compat(spark: SparkSession, d: str) -> DataFrame:
     """Aggregates of a compat workspace, asked for in SQL text."""
-    ws = Workspace(spark, f"{shared_dir(spark)}/brindle/workspace-{uuid.uuid4().hex}", "compat")
+    ws = Workspace(spark, fresh_path(spark, "workspace"), "compat")
     execute(ws, "CREATE TABLE s (k INT, n INT, a DOUBLE)")
     ws.insert("s", table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") > 5, F.col("s_nationkey")), F.when(F.col("s_acctbal") > 1e9, F.col("s_acctbal"))))
     return execute(ws, "SELECT COUNT(*) AS cnt, COUNT(n) AS cnt_key, SUM(a) AS total, COUNT_DISTINCT(n) AS nations FROM s")
@@ -554,3 +575,76 @@ def fk_violations(spark: SparkSession, d: str) -> DataFrame:
 )
 def dup_keys(spark: SparkSession, d: str) -> DataFrame:
     return violations.duplicate_keys(table(spark, d, "customer"), "c_nationkey")
+
+
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, props FROM events"""
+)
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The events written as CSV files and read again, all columns as text."""
+    path = fresh_path(spark, "csv")
+    csv.write_text(table(spark, d, "events").select("event_id", "event_type", "props"), path)
+    return csv.read_text(spark, path)
+
+
+@query(
+    """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(c_acctbal > 0 AS VARCHAR) AS rich FROM customer"""
+)
+def csv_import(spark: SparkSession, d: str) -> DataFrame:
+    """A workspace's table from CSV files, with the types that the values allow."""
+    path = fresh_path(spark, "csv")
+    csv.write_text(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", (F.col("c_acctbal") > 0).alias("rich")), path)
+    ws = Workspace(spark, fresh_path(spark, "workspace"))
+    ws.import_csv("c", path)
+    return ws.table("c")
+
+
+@query(
+    f"""{_SUPPLIER} FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT -1, 'ATLANTIS', NULL, NULL"""
+)
+def catalog_reload(spark: SparkSession, d: str) -> DataFrame:
+    """A workspace opened again by its catalog."""
+    ws = filled(spark, d, "DELETE FROM s WHERE s_acctbal < 0", "INSERT INTO s (s_suppkey, s_name) VALUES (-1, ATLANTIS)")
+    again = Workspace(spark, ws.catalog.root)
+    again.vacuum()
+    return again.table("s")
+
+
+@query(
+    f"""{_SUPPLIER}, CAST(7 AS BIGINT) AS refused FROM supplier"""
+)
+def constraints_refused(spark: SparkSession, d: str) -> DataFrame:
+    """NOT NULL, type, length, CHECK, UNIQUE, primary and foreign key, tested by changes that leave the table as it was."""
+    ws = filled(spark, d)
+    execute(ws, "CREATE TABLE n (n_nationkey INT PRIMARY KEY, n_name VARCHAR(25) UNIQUE)")
+    ws.insert("n", table(spark, d, "nation").select("n_nationkey", "n_name"))
+    execute(ws, "ALTER TABLE s ADD FOREIGN KEY (s_nationkey) REFERENCES n(n_nationkey)")
+    n = refused(
+        ws, "INSERT INTO s VALUES (-1, NULL, 1, 0)", "INSERT INTO s VALUES (-1, 'x', 'many', 0)", "INSERT INTO s VALUES (1, 'x', 1, 0)", "INSERT INTO s VALUES (-1, 'x', -1, 0)",
+        "INSERT INTO s VALUES (-1, 'x', 99, 0)", "DELETE FROM n WHERE n_nationkey > 0", "UPDATE s SET s_name = repeat(s_name, 9)",
+    )
+    return ws.table("s").withColumn("refused", F.lit(n).cast("long"))
+
+
+@query(
+    f"""{_SUPPLIER}, CASE WHEN s_acctbal > 0 THEN 'ok' ELSE 'warn' END AS state FROM supplier WHERE s_acctbal > -500"""
+)
+def constraints_added(spark: SparkSession, d: str) -> DataFrame:
+    """Constraints added to a table that has rows, of which one does not hold until rows go."""
+    ws = filled(spark, d, "ALTER TABLE s ADD COLUMN state ENUM('ok','warn')", "UPDATE s SET state = if(s_acctbal > 0, 'ok', 'warn')", "ALTER TABLE s ADD CONSTRAINT named UNIQUE (s_name)")
+    if refused(ws, "ALTER TABLE s ADD CHECK (s_acctbal > -500)", "UPDATE s SET state = 'bad'") == 2:
+        execute(ws, "DELETE FROM s WHERE s_acctbal <= -500")
+    execute(ws, "ALTER TABLE s ADD CHECK (s_acctbal > -500)")
+    return ws.table("s")
+
+
+@query(
+    """SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey, count(*) AS cnt FROM supplier WHERE s_acctbal >= 0 GROUP BY s_nationkey"""
+)
+def script_run(spark: SparkSession, d: str) -> DataFrame:
+    """A script of changes, then a query over the tables it leaves."""
+    ws, said = filled(spark, d), []
+    script = "-- positive ones only\nDELETE FROM s WHERE s_acctbal < 0; /* then */ ALTER TABLE s RENAME COLUMN s_acctbal TO balance;\nUPDATE s SET balance = 0;"
+    if run_script(ws, script, said.append):
+        raise RuntimeError("; ".join(said))
+    return execute(ws, "SELECT s_nationkey, COUNT(*) AS cnt FROM s WHERE balance = 0 GROUP BY s_nationkey")
