@@ -24,12 +24,13 @@ All tables grow with the corpus; only totals and counts of counts reach the driv
 Defined cases: a null or empty text is its end token alone; a null id stays null
 and is of the fold of the empty text; repeated rows count and are scored each; with
 no training text every word is unknown; an empty table gives an empty result;
-extra columns of the input are ignored.
+extra columns of the input are ignored; a very long text is a chunk of its own. Words
+are told apart by 64-bit hashes: of V distinct words two share one, and then count as
+one word, with a probability of about V^2 / 2^65.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,25 +41,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc_fold, materialize, parallel_tasks, scratch_path
+from brindle.llm.common import bucketed, crc_fold, materialize, parallel_tasks
 from brindle.llm.packed import mixed, pack, small, unpack
+from brindle.llm.spaced import word_hashes
 
 CHUNK_TOKENS, HOT_TOKENS = 750_000, 1_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-END, START = b" ", b"  "  # no word holds a space
+#: Keys of the end token and of the mark before the first token; words have keys of another hash.
+END, START = (xxhash.xxh64_intdigest(mark) for mark in (b"end", b"start"))
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words between white space with A-Z lower-cased, then the end token."""
-    return [*(text or "").encode().lower().split(), END]
 
-
-class _Numbers(dict):
-    """Numbers keys in order of their first use."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
+def token_keys(text: str | None) -> np.ndarray:
+    """Keys of the words between white space with A-Z lower-cased, then of the end token."""
+    return np.append(word_hashes((text or "").encode()), np.uint64(END))
 
 
 _CHUNK = "chunk long, doc_ids array<long>, held binary, sizes binary, words binary, vocabulary binary, counts binary"
@@ -75,29 +71,21 @@ def _cut_chunks(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterato
     base, made = TaskContext.get().partitionId() << 24, 0
     names = [x.split()[0] for x in _CHUNK.split(", ")]
 
-    def fresh():
-        numbers = _Numbers()
-        numbers[END], numbers[START] = 0, 1
-        return numbers, [], [], [], [], 0
-
     def closed() -> pa.RecordBatch:
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], np.uint64)
-        order = np.argsort(hashes)
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        stream = place[np.concatenate(words)]
+        hashes, place = np.unique(np.append(np.concatenate(words), np.uint64(START)), return_inverse=True)
+        stream, start = place[:-1].astype(np.uint32), place[-1]
         taught = np.repeat(~np.array(held, bool), sizes)
-        counts = np.bincount(stream[taught], minlength=len(order))
-        counts[place[1]] = sum(not h for h in held)
-        values = [base + made, ids, pack(np.array(held, np.uint8)), pack(np.array(sizes, np.uint32)), pack(stream), pack(hashes[order]), pack(small(counts))]
+        counts = np.bincount(stream[taught], minlength=len(hashes))
+        counts[start] = sum(not h for h in held)
+        values = [base + made, ids, pack(np.array(held, np.uint8)), pack(np.array(sizes, np.uint32)), pack(stream), pack(hashes), pack(small(counts))]
         kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
-    numbers, ids, held, sizes, words, total = fresh()
+    ids, held, sizes, words, total = [], [], [], [], 0
     for batch in batches:
         for doc_id, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            found = tokens(text.as_py())
-            words.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+            found = token_keys(text.as_py())
+            words.append(found)
             ids.append(doc_id)
             held.append(out)
             sizes.append(len(found))
@@ -105,7 +93,7 @@ def _cut_chunks(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterato
             if total >= chunk_tokens:
                 yield closed()
                 made += 1
-                numbers, ids, held, sizes, words, total = fresh()
+                ids, held, sizes, words, total = [], [], [], [], 0
     if ids:
         yield closed()
 
@@ -118,10 +106,7 @@ def write_chunks(docs: DataFrame, held_fold: int, folds: int, chunk_tokens: int
     )
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(parallel_tasks(spark), size // 24_000_000), 100_000))
-    name = f"brindle_chunks_{uuid.uuid4().hex}"
-    writer = narrow.mapInArrow(_chunks(chunk_tokens), _CHUNK).write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks"))
-    writer.option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(narrow.mapInArrow(_chunks(chunk_tokens), _CHUNK), "chunks", buckets, "chunk")
 
 
 _WORDS = "kind int, chunk long, part int, numbers binary, counts binary, words long, tokens long"
@@ -141,8 +126,6 @@ def _word_requests(bits: int):
 
 
 def _count_words(parts: int):
-    start = xxhash.xxh64_intdigest(START)
-
     def run(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked = [(c, unpack(h), unpack(n)) for t in tables for c, h, n in zip(t["chunk"], t["hashes"], t["counts"], strict=True)]
         hashes, place = np.unique(np.concatenate([h for _, h, _ in asked]), return_inverse=True)
@@ -160,7 +143,7 @@ def _count_words(parts: int):
             here = place[at : at + len(h)]
             rows.append((0, chunk, int(key[0]), pack(small(number[here])), pack(small(total[here])), 0, 0))
             at += len(h)
-        real = (total > 0) & (hashes != np.uint64(start))
+        real = (total > 0) & (hashes != np.uint64(START))
         known = order[: int((total > 0).sum())]
         rows.append((1, -1, int(key[0]), pack(hashes[known]), pack(small(total[known])), int(real.sum()), int(total[real].sum())))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _WORDS.split(", ")])
@@ -196,7 +179,7 @@ class _Pairs:
 
 
 def _start_of(hashes: np.ndarray) -> int:
-    return int(np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(START))))
+    return int(np.searchsorted(hashes, np.uint64(START)))
 
 
 def _joined(replies: pd.DataFrame, *names: str) -> list[np.ndarray]:
