@@ -10,7 +10,9 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from brindle.llm import components, decontamination, filters, jaccard, katz, quality
+from pyspark.sql import functions as F
+
+from brindle.llm import components, decontamination, filters, jaccard, katz, quality, spaced
 from brindle.llm.common import LOWER, UPPER, WORD_PATTERN, materialize
 from brindle.llm.packed import pack, small, unpack
 
@@ -54,7 +56,7 @@ def brute_hits(text, items, size=10):
 
 
 @pytest.mark.parametrize("short", [False, True])
-def test_decontamination(spark, short):
+def test_decontamination(spark, monkeypatch, short):
     import hashlib
 
     rng, vocabulary = random.Random(7), ["a", "b", "C", "dé", "e1"]
@@ -73,10 +75,29 @@ def test_decontamination(spark, short):
         n, hit, ids = brute_hits(t, items)
         want.append((str(k), n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
     assert sorted((str(r.doc_id), *r[1:]) for r in got.collect()) == sorted(want)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST", 0)  # nothing fits: shuffles, and words that are read again
+    assert sorted((str(r.doc_id), *r[1:]) for r in decontamination.decontaminate(d, b).collect()) == sorted(want)
+    monkeypatch.undo()
     assert decontamination.decontaminate(d.limit(0), b).count() == 0
     assert decontamination.decontaminate(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_only_prefixes_make_candidates(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = [(k, "alpha beta gamma delta epsilon zeta eta theta") for k in range(30)] + [(100, item), (101, "iota kappa eta theta iota")]
+    d = spark.createDataFrame([(k, t, str(k)) for k, t in docs], "doc_id long, text string, digest string")
+    windows = materialize(decontamination.window_shingles(decontamination.item_windows(spark.createDataFrame([(1, item)], "item_id long, text string"))), "w")
+    counts = materialize(decontamination.count_shingles(d, windows.select("a", "b", "c").distinct(), [3]), "c")
+    prefix = decontamination.prefixes(windows, counts)
+    assert [(r.offset, r.a, r.c) for r in prefix.collect()] == [(7, "theta", "kappa")]  # of the two rarest the first
+    places = decontamination.find_candidates(d, prefix, [3]).where("start is not null")
+    assert [(r.digest, r.start) for r in places.collect()] == [("100", 1)]
+    every = windows.select("window", "w_words", "offset", "a", "b", "c")  # no prefix filter
+    assert decontamination.find_candidates(d, every, [3]).where("start is not null").count() > 1
+    lone = decontamination.find_candidates(spark.createDataFrame([(1, "theta iota kappa", "d")], d.schema), prefix, [3])
+    assert lone.where("start is not null").isEmpty()  # no room before it
+
+
 # Components and the Jaccard join
 
 
@@ -157,14 +178,61 @@ def test_jaccard_join(spark, monkeypatch):
     want = brute_join(docs)
     result = lambda: sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(df).collect())
     assert result() == want
-    # Lists of frequent shingles split over partitions, and pivots in every round: the same result.
+    # Lists of frequent shingles split over partitions, small blocks and several copies of a pivot's set: the same result.
     monkeypatch.setattr(jaccard, "HOT_COUNT", 8)
     monkeypatch.setattr(jaccard, "HOT_FACTOR", 0)
-    monkeypatch.setattr(jaccard, "ROUNDS", (2, 3, None))
+    monkeypatch.setattr(jaccard, "BLOCK", 500)
+    monkeypatch.setattr(jaccard, "HOT_PAIRS", 3)
     assert result() == want
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    docs = [(i, t) for i, t in enumerate(near_copies(rng, base, 2000, 5))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    signed, levels = jaccard.sign_documents(df)
+    pairs = jaccard.candidates(jaccard.short_lists(df, levels, 300_000)).count()
+    assert pairs <= 2000  # one a member at most
+    labels = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    sets = [s for _, s in brute_sets(docs)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert labels == brute_components(range(len(sets)), links) and len(set(labels.values())) > 1
+
+
+def test_jaccard_very_long_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(10**5)}" for _ in range(60_000)]
+    texts = [" ".join(long), " ".join([*long[:30_000], "x", *long[30_000:]]), " ".join(long[:20_000]), "y" * 700_000, "Y" * 700_000]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert [r.component_id for r in jaccard.jaccard_components(df).orderBy("doc_id").collect()] == [0, 0, 2, 3, 3]
+    hashes = spaced.word_hashes(texts[1].encode())
+    monkeypatch.setattr(spaced, "STRETCH", 100)
+    assert (spaced.word_hashes(texts[1].encode()) == hashes).all() and len(hashes) == 60_001
+
+
+def test_word_hashes():
+    words_of = lambda b: b.lower().split()
+    seen = {}
+    for text in (b"", b" ", b"a", b"A a\tB\x0bb\x1cb", "\u00c9\u00e9 \u2028x \x85".encode(), bytes(range(256)), b"ab ba a b aa"):
+        found = spaced.word_hashes(text).tolist()
+        assert len(found) == len(words_of(text))
+        for w, h in zip(words_of(text), found):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_divide_skip():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(rng.integers(1, 30))]
+        query = np.unique(rng.integers(0, 60, 25).astype(np.uint64))
+        needs = jaccard.required(np.array([len(s) for s in sets]), len(query))
+        found = jaccard.divide_skip(jaccard.BlockIndex(sets).lists(query), needs)
+        assert sorted(found.tolist()) == [i for i, s in enumerate(sets) if len(np.intersect1d(s, query)) >= needs[i]]
+
+
 def test_required_overlap():
     for x in range(1, 60):
         for y in range(x, 60):
@@ -177,13 +245,18 @@ def test_required_overlap():
 # Katz
 
 
+def own_tokens(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(ASCII)) if w] + ["</s>"]
+
+
 def brute_katz(docs):
-    tok = {k: katz.tokens(t) for k, t in docs}
+    tok = {k: own_tokens(t) for k, t in docs}
     train = {k for k in tok if zlib.crc32(str(k).encode()) % 5 != 1}
     uni = Counter(w for k in train for w in tok[k])
-    bi = Counter(p for k in train for p in zip([katz.START, *tok[k][:-1]], tok[k]))
+    bi = Counter(p for k in train for p in zip(["<s>", *tok[k][:-1]], tok[k]))
     n, v = sum(uni.values()), len(uni)
-    discount = katz.discounts([sum(c == r for c in bi.values()) for r in range(1, 7)])
+    discount = [0, *smooth_discounts(bi)]
+    assert all(0 < d < 1 for d in discount[1:])  # Good-Turing's, not the fallback
     prob = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
     share = lambda c: discount[c] if c <= 5 else 1.0
     after = defaultdict(list)
@@ -201,11 +274,11 @@ def brute_katz(docs):
         return share(bi[a, b]) * bi[a, b] / weight[a][1] if bi[a, b] else weight.get(a, (1, 1))[0] * prob(b)
 
     for a in list(after)[:20]:  # every context's probabilities add up to one
-        assert abs(sum(p(a, b) for b in uni) + p(a, b"\x00unknown") - 1) < 1e-9
+        assert abs(sum(p(a, b) for b in uni) + p(a, "an unknown word") - 1) < 1e-9
     rows = {}
     for k, t in tok.items():
         base = sum(math.log10(prob(w)) for w in t)
-        score = sum(math.log10(p(a, b)) for a, b in zip([katz.START, *t[:-1]], t))
+        score = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t[:-1]], t))
         rows[k] = (k not in train, len(t), sum(w in uni for w in t), n, base, score)
     return rows
 
@@ -241,8 +314,8 @@ def test_katz_discounts_with_groups_of_copies(spark):
     texts = [text() for _ in range(200)] + [t for t in (text() for _ in range(12)) for _ in range(5)]
     ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 != 1]
     docs = [*zip(ids, texts)] + [(k, text()) for k in range(400, 430)]
-    train = [katz.tokens(t) for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
-    bigrams = Counter(p for t in train for p in zip([katz.START, *t[:-1]], t))
+    train = [own_tokens(t) for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
+    bigrams = Counter(p for t in train for p in zip(["<s>", *t[:-1]], t))
     n = [sum(c == r for c in bigrams.values()) for r in range(1, 7)]
     common = 6 * n[5] / n[0]
     raw = [((r + 1) * n[r] / n[r - 1] / r - common) / (1 - common) for r in range(1, 6)]
@@ -266,6 +339,9 @@ def test_katz_edges(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "x y")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in katz.score_documents(df).collect()) == [3, 3, 3]
     assert katz.score_documents(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "a b " * 150_000), (2, "x" * 2_000_000), (1, "a b " * 150_000)], "doc_id long, text string")
+    rows = katz.score_documents(long, chunk_tokens=1000, hot_tokens=100).collect()
+    assert sorted(r.n_tokens for r in rows) == [2, 300_001, 300_001] and all(r.score < 0 for r in rows)
     held = spark.createDataFrame([(k, "a b") for k in range(50) if zlib.crc32(str(k).encode()) % 5 == 1], "doc_id long, text string")
     assert {(r.train_tokens, r.n_known) for r in katz.score_documents(held).collect()} == {(0, 0)}
 
@@ -296,6 +372,59 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_pooling_against_brute_force():
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(quality.BUCKETS, quality.DIMENSIONS))
+    buckets = quality.TokenBuckets()
+    for text in ("", "one", "one two ONE two, three!!! " * 3, "é 123 ___ ??" * 2):
+        ids = buckets.of(text).tolist()
+        got = quality.pooled(np.array(ids, np.int64), vectors)
+        if not ids:
+            assert not got.any() and len(got) == quality.WIDTH
+            continue
+        x = [vectors[i] for i in ids]
+        mean = [statistics.fmean(v[d] for v in x) for d in range(quality.DIMENSIONS)]
+        spread = [statistics.pstdev([v[d] for v in x]) for d in range(quality.DIMENSIONS)]
+        own = sum(m * m for m in mean) + sum(s * s for s in spread) + 1e-9
+        alike = [statistics.fmean(float(x[i] @ x[i + k]) for i in range(len(x) - k)) / own if len(x) > k else 0 for k in (1, 2)]
+        lengths = [math.log1p(100 * math.sqrt(sum(v * v for v in part))) for part in (mean, spread)]
+        assert got.tolist() == pytest.approx([*mean, *spread, *lengths, *alike], rel=1e-4, abs=1e-5)
+    # tokens share a bucket by their whole form, however long
+    assert buckets["!" * 8 + "a"] != buckets["!" * 8 + "b"] and buckets["?" * 100] != buckets["?" * 101] and buckets["Word"] == buckets["word"]
+
+
+def test_network_learns_and_is_calibrated():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 6))
+    truth = 1 / (1 + np.exp(-(2 * x[:, 0] - 1.5 * x[:, 1] * x[:, 2])))
+    y = (rng.random(3000) < truth).astype(int)
+    net = quality.fit(x, y, hidden=16, epochs=30)
+    by_hand = []
+    for row in x[:50]:
+        h = [math.tanh(sum((row[i] - net.centre[i]) / net.scale[i] * net.w1[i][j] for i in range(6)) + net.b1[j]) for j in range(16)]
+        by_hand.append(1 / (1 + math.exp(-(sum(a * b for a, b in zip(h, net.w2)) + net.b2) / net.temperature)))
+    assert net.score(x[:50]).tolist() == pytest.approx(by_hand)
+    held = np.arange(3000) % 5 == 4
+    loss = lambda t: -np.mean(np.where(y[held], np.log(1 / (1 + np.exp(-net.logits(x[held]) / t))), np.log(1 / (1 + np.exp(net.logits(x[held]) / t)))))
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.geomspace(0.25, 8, 61))
+    fresh = rng.normal(size=(4000, 6))
+    truth = 1 / (1 + np.exp(-(2 * fresh[:, 0] - 1.5 * fresh[:, 1] * fresh[:, 2])))
+    score = net.score(fresh)
+    for low in (0.0, 0.2, 0.4, 0.6, 0.8):  # scores are rates
+        some = (score >= low) & (score < low + 0.2)
+        assert abs(score[some].mean() - truth[some].mean()) < 0.1
+
+
+def test_quality_sample_is_bounded_by_rows(spark):
+    docs, labels = quality_fixture(spark, 80)
+    many = docs.unionByName(docs.where("doc_id = 9").crossJoin(spark.range(500).toDF("k")).select(*[c if c != "text" else F.concat("text", F.col("k").cast("string")).alias("text") for c in docs.columns]))
+    assert quality.training_rows(many, labels, "quality", 2, 4, 10).count() == 10
+    rows = quality.training_rows(many, labels, "quality", 2, 4, 1000).collect()
+    assert len(rows) == len({r.doc_id for r in rows})
+    long = spark.createDataFrame([(1, "word " * 400_000, "en", "s", 0.5), (2, "!" * 1_000_000, "en", "s", 0.5), (2, "!" * 1_000_000, "en", "s", 0.5)], docs.schema)
+    assert quality.score_quality(docs.unionByName(long), labels).count() == docs.count() + 3
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels = quality_fixture(spark, 80)
     held = [r.doc_id for r in labels.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
@@ -357,6 +486,30 @@ def test_pipeline(spark, tmp_path):
     assert public_tokenizers.path("byte_bpe_50k.json")
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    rng = random.Random(13)
+    text = lambda n: " ".join(rng.choice(["tree", "house", "river", "walks", "and"]) + str(rng.randrange(90)) for _ in range(n))
+    a, b, c = text(40), text(40), text(5000)
+    rows = [(1, a), (1, b), (2, a), (None, None), (3, ""), (3, ""), (4, c), (None, c + " more"), (5, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _brindle_key long, _brindle_row string, _brindle_score double, row int, digest string, `label` int"
+    folder = str(tmp_path / "odd")
+    spark.createDataFrame([(k, t, "en", "s", 1, 7, "x", 0.5, 1, "d", 3) for k, t in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, folder)
+    assert near.columns == docs.columns
+    # rows of one id with different texts all stay; an empty text is nobody's copy unless its id is the same too
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == sorted([(1, a), (1, b), (None, None), (3, ""), (4, c), (5, None)], key=str)
+    clean = corpus_pipeline.decontamination_stage(spark, docs, folder)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    kept = corpus_pipeline.quality_stage(spark, docs, folder)  # without labels every score is 0.5
+    assert kept.columns == docs.columns and kept.count() == 0
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     rng = random.Random(4)
     a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6))

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import math
 import random
 import re
 import struct
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brindle.llm import bpe, licenses, media, packing, sharding, token_counts, warc
-from brindle.llm.common import LOWER, UPPER, WORD_PATTERN
+from brindle.llm.common import LOWER, UPPER, WORD_PATTERN, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, n_tokens int, row int"
@@ -75,9 +76,39 @@ def test_assignment(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(ODD)
 
 
+def test_assignment_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "keepme", "S", 7, "x"), (2, "too", "T", 8, "y")], "slot long, _slot string, Shard string, _brindle int, `a.b` string")
+    out = sharding.assign_shards(df, "slot", ["a", "b"], 101)
+    assert out.columns == ["_slot", "_brindle", "a.b", "slot", "shard"]
+    got = {r["_slot"]: r for r in out.collect()}
+    for key, name in ((1, "keepme"), (2, "too")):
+        assert got[name].slot == int(hashlib.md5(str(key).encode()).hexdigest()[:15], 16) % 101 and got[name]["_brindle"] == 6 + key
+
+
 # Tokens
 
 
+def test_other_scripts_take_both_tiers(spark, monkeypatch):
+    """The library never sees a whole text: units of any script are looked up."""
+    parts = ["it’s", "—", "日本語", " ", "  ", "\u3000", "\u3000\u3000 ", "\u2003", "привет", "мир ", "αβγ", "🙂", "e\u0301", "x", "\n", "١٢", "\u00a0", "don't ", "कि"]
+    whole, own, rng = Tokenizer.from_file(VOCABULARY), bpe.PieceTokenizer(VOCABULARY), random.Random(8)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for _ in range(3000)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class Blind:
+        def encode(self, *a, **b):
+            raise AssertionError("the whole text went to the library")
+
+        pre_tokenizer = own.whole.pre_tokenizer
+
+    own.whole = Blind()
+    for t, ids in zip(texts, want):
+        packed = own.packed_ids(t)
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == ids and own.count(t) == len(ids), repr(t)
+    found = {r.piece for r in token_counts.frequent_pieces(spark.createDataFrame([(t,) for t in texts], "text string"), VOCABULARY).collect()}
+    assert {"привет", "日本語", "’", " "} <= found
+
+
 def test_pieces_equal_the_library():
     whole, own = Tokenizer.from_file(VOCABULARY), bpe.PieceTokenizer(VOCABULARY)
     rng, parts = random.Random(1), ["a", "b ", "  ", " ", "\n", "'s", "'", "é", "1", "²", "\xa0", "!", "\x85", "\x1c", "'ll", "Z", ".", "\t", "_", "ſ", "日", "<|endoftext|>"]
@@ -154,6 +185,27 @@ def test_plan_uses_everything():
         assert got == counts
     with pytest.raises(ValueError):
         packing.plan_patterns({17: 1}, 16)
+
+
+def test_sum_index():
+    lengths, left = np.array([1, 2, 3, 5, 8, 13]), np.zeros(20, np.int64)
+    left[lengths] = 1
+    left[8] = 2
+    index = packing.SumIndex(lengths, 20)
+    for total in range(1, 20):
+        pairs = {(b, c) for b in lengths.tolist() for c in lengths.tolist() if b >= c and b + c == total}
+        assert set(index.pairs(total, 19, left + 5)) == pairs
+        triples = {(b, c, d) for b in lengths.tolist() for c, d in ((c, d) for c in lengths.tolist() for d in lengths.tolist()) if b >= c >= d and b + c + d == total}
+        assert set(index.triples(total, 19, left + 5)) == triples
+    gone = left.copy()
+    gone[5] = 0
+    assert list(index.pairs(6, 19, left)) == [(5, 1), (3, 3)] and list(index.pairs(6, 19, gone)) == [(3, 3)]
+    # exact complements: a single, a pair and a triple fill their sequences
+    assert sorted(packing.plan_patterns({12: 1, 4: 1, 10: 1, 5: 1, 1: 1}, 16)) == [((10, 5, 1), 1), ((12, 4), 1)]
+    assert packing.plan_patterns({9: 2, 4: 2, 2: 2, 1: 2}, 16) == [((9, 4, 2, 1), 2)]
+
+
+def test_empty_plan():
     assert packing.plan_patterns({}, 16) == []
 
 
@@ -176,6 +228,42 @@ def test_media_round_trip(docs):
     assert media.read_media(media.encode_media(docs.limit(0))).count() == 0
 
 
+def test_media_columns_against_brute_force(spark, docs):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab \n") for _ in range(n)) for n in (1, 63, 64, 65, 700)] + ["row of text, repeated." * 60, "z" * 300_000, ""]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    stored = materialize(media.encode_media(df), "media")
+    images = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    for r in media.read_media(stored).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + bytes((-len(raw)) % 64 or (0 if raw else 64))
+        data = images[r.doc_id]
+        assert (r.n_bytes, r.media_bytes, r.media_sha256) == (len(raw), len(data), hashlib.sha256(data).hexdigest())
+        if len(payload) > 5000:
+            continue
+        height, terms = len(payload) // 64, []
+        for u in range(1, 9):
+            for v in range(1, 9):
+                total = sum(payload[64 * y + x] * math.cos(math.pi / height * (y + 0.5) * u) * math.cos(math.pi / 64 * (x + 0.5) * v) for y in range(height) for x in range(64))
+                terms.append(round(total / height / 64, 9))
+        middle = sorted(terms)[31] / 2 + sorted(terms)[32] / 2
+        bits = "".join(str(int(t > middle)) for t in terms)
+        assert sum(a != b for a, b in zip(bits, f"{int.from_bytes(bytes(r.phash)):064b}")) <= (0 if len(set(map(abs, terms))) > 32 else 64)
+
+
+def test_rows_choose_their_filters():
+    rng = np.random.default_rng(4)
+    text = np.frombuffer(b"the quick brown fox jumps over the lazy dog, and then it sleeps.", np.uint8)
+    rows = np.vstack([text, text, np.arange(64), np.arange(64) + 1, rng.integers(0, 255, 64), np.zeros(64)]).astype(np.uint8)
+    kinds = media.filtered(rows)[:, 0]
+    assert kinds[0] == media.FILTER_NONE and kinds[1] == media.FILTER_UP and kinds[2] == media.FILTER_SUB and kinds[5] == media.FILTER_NONE
+    every = [media.filtered(rows)[k, 1:] for k in range(len(rows))]
+    for k, row in enumerate(every):  # no filter leaves fewer distinct values
+        assert len(set(row.tolist())) == min(len(set(filtered(rows.tolist(), [f] * len(rows))[k].tolist())) for f in range(5))
+    ramp = np.add.outer(np.arange(40), 3 * np.arange(64)).astype(np.uint8)
+    assert (media.decode_png(media.encode_png(ramp.tobytes())) == ramp).all() and media.filtered(ramp)[:, 0].any()
+
+
 def filtered(rows, kinds):
     """PNG's row filters by definition, byte by byte."""
     out = []
@@ -235,10 +323,23 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark):
+    rows = [(k, f"u{k}", f"<p>{k} " + "text " * 60) for k in range(300)] + [(1000 + k, "d", "<p>same " * 40) for k in range(300)] + [(2000 + k, "e", "") for k in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    marked = warc.mark_revisits(df)
+    assert marked.where("record_type = 'revisit' and payload is not null").isEmpty() and marked.where("record_type = 'revisit'").count() == 299
+    found = warc.read_archives(warc.write_archives(df), split_bytes=2000)
+    by_task = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > 8 and sum(r["count"] for r in by_task) == len(rows)
+    long = spark.createDataFrame([(1, "u", "x" * 3_000_000), (2, "u", "x" * 3_000_000)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.read_archives(warc.write_archives(long), split_bytes=500).collect()) == [(1, 3_000_000, None), (2, 3_000_000, 1)]
+
+
 @pytest.mark.parametrize("split", [1, 7, 64, 1000, 10**6])
 def test_each_record_has_one_owner(split):
     rng = random.Random(5)
-    records = [warc.encode_record(k, "u", bytes(rng.randbytes(rng.randint(0, 400))) + warc.MAGIC * 3, "d", "response", None, "d") for k in range(20)]
+    payloads = [bytes(rng.randbytes(rng.randint(0, 400))) + warc.MAGIC * 3 for _ in range(20)]
+    records = [warc.encode_record(k, "u", p, len(p), "d", "response", None, "d") for k, p in enumerate(payloads)]
     junk = b"\x1f\x8b\x08junk" + zlib.compress(b"x")
     data = junk + b"".join(records) + junk
     found = [r for at in range(0, len(data), split) for r in warc.split_records(io.BytesIO(data), at, min(at + split, len(data)), len(data), block=64)]
@@ -246,7 +347,7 @@ def test_each_record_has_one_owner(split):
 
 
 def test_wrong_digest_is_found():
-    record = warc.encode_record(1, "u", b"abc", hashlib.sha256(b"abd").hexdigest(), "response", None, "d")
+    record = warc.encode_record(1, "u", b"abc", 3, hashlib.sha256(b"abd").hexdigest(), "response", None, "d")
     with pytest.raises(ValueError):
         warc.decode_record(next(warc.split_records(io.BytesIO(record), 0, len(record), len(record))))
 
@@ -284,6 +385,21 @@ def test_license_templates_survive_edits(spark):
     assert got[0].score == 1 and 0.75 <= got[1].score < 1 and got[4].score == 0
 
 
+def test_license_spans_are_verified(spark):
+    """Words of a template that are strewn over a text, or stand in another order, are no span."""
+    gpl = "licensed under the gnu general public license version 3".split()
+    strewn = " x ".join(" ".join(gpl[i : i + 3]) for i in range(len(gpl) - 2))
+    backwards = " ".join(" ".join(gpl[i : i + 3]) for i in range(len(gpl) - 3, -1, -1))
+    inserted = " ".join([*gpl[:4], "now", *gpl[4:]])
+    twice = " ".join(gpl * 2)
+    df = spark.createDataFrame(list(enumerate([strewn, backwards, inserted, twice, " ".join(gpl)])), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df).collect()}
+    assert got[0] == got[1] == got[2] == ("", 0.0)  # one word inserted breaks two of seven sequences
+    assert got[3] == got[4] == ("gpl-3", 1.0)
+    spans = licenses.find_spans(licenses.matches(df)).where("tid >= 0")
+    assert sorted((r.doc_id, r.start) for r in spans.collect()) == [(3, 0), (3, 9), (4, 0)]
+
+
 def test_license_plan_is_native(docs):
     plan = licenses.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
