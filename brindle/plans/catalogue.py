@@ -245,8 +245,9 @@ def join_theta(spark: SparkSession, d: str) -> DataFrame:
     """SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal"""
 )
 def join_composite(spark: SparkSession, d: str) -> DataFrame:
-    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    return s.join(c, (s.s_nationkey == c.c_nationkey) & (s.s_acctbal > c.c_acctbal)).select("s_suppkey", "c_custkey")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return joins.tiled(s, c, ("s_nationkey", "c_nationkey"), F.col("s_acctbal") > F.col("c_acctbal")).select("s_suppkey", "c_custkey")
 
 
 @query(
