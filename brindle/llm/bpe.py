@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
+from array import array
+from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
@@ -24,6 +27,8 @@ _SPACES = _SPACE + "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: White space in some versions of Unicode and not in others.
 _DISPUTED = "\u180e"
 _LIMIT = 0x250
+#: Marks that are a pre-token of their own at the end of a word.
+_MARKS = ",.;:!?"
 
 
 def _ranges(kind: str) -> str:
@@ -53,6 +58,25 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(shifted)}
 
 
+class RecentValues(dict):
+    """Values of short keys, computed when missing. Of two generations the younger is filled up to ``limit``, then it
+    becomes the older one and what that held and was not asked for again is let go; so frequent keys stay."""
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int):
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class PieceTokenizer:
     """Exact token counts and ids for one vocabulary file, with bounded caches."""
 
@@ -73,10 +97,12 @@ class PieceTokenizer:
         self.cache_limit = cache
         self.lengths: dict[str, int] = {}
         self.unit_lengths: dict[str, int] = {}
-        self.piece_ids: dict[str, bytes] = {}
-        self.unit_ids: dict[str, bytes] = {}
+        self.piece_ids = RecentValues(self._model_ids, cache // 8)
+        self.word_ids = RecentValues(self._word_ids, cache)
 
     def _tokens(self, piece: str) -> list:
+        if piece.isascii() and piece[1:].isalpha():  # printable ASCII stands for itself
+            return self.model.tokenize(self.alphabet[32] + piece[1:] if piece[0] == " " else piece.translate(self.alphabet))
         return self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.alphabet))
 
     def easy(self, text: str) -> bool:
@@ -122,27 +148,33 @@ class PieceTokenizer:
             total += n
         return total
 
-    def _piece_ids(self, piece: str) -> bytes:
-        ids = self.piece_ids.get(piece)
-        if ids is None:
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self._tokens(piece))
-            if len(self.piece_ids) < self.cache_limit and len(piece) <= 64:
-                self.piece_ids[piece] = ids
-        return ids
+    def _model_ids(self, piece: str) -> bytes:
+        ids = array("I", [t.id for t in self._tokens(piece)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _word_ids(self, word: str) -> bytes:
+        """The ids of a unit without its leading space. Letters are one pre-token, a mark behind them another."""
+        if word.isalpha() and not _BEYOND.search(word):
+            return self._model_ids(" " + word)
+        if word[-1:] in _MARKS and word[:-1].isalpha() and not _BEYOND.search(word):
+            return self.word_ids[word[:-1]] + self.piece_ids[word[-1]]
+        pieces = self.pieces(" " + word)
+        if len(pieces) == 1:
+            return self._model_ids(pieces[0])
+        return b"".join([self.word_ids[p[1:]] if p[0] == " " and p.isascii() and p[1:].isalpha() else self.piece_ids[p] for p in pieces])
 
     def packed_ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if not self.easy(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
-        out, get = [], self.unit_ids.get
-        for unit in self.units(text):
-            ids = get(unit)
-            if ids is None:
-                ids = b"".join(map(self._piece_ids, self.pieces(unit)))
-                if len(self.unit_ids) < self.cache_limit and len(unit) <= 64:
-                    self.unit_ids[unit] = ids
-            out.append(ids)
-        return b"".join(out)
+            return b"".join([i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids])
+        if _SPACE_RUN.search(text):
+            first, *rest = self.units(text)
+            rest = [unit[1:] for unit in rest]
+        else:
+            first, *rest = text.split(" ")
+        return b"".join(map(self.piece_ids.__getitem__, self.pieces(first))) + b"".join(map(self.word_ids.__getitem__, rest))
 
 
 def opened(path: str) -> PieceTokenizer:

@@ -58,6 +58,18 @@ def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
     return read
 
 
+#: Texts that Spark hands to a Python worker at once. At Spark's 10,000 a batch is a whole file split of texts, which is
+#: held by both the executor and the worker, in several buffers each.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches have BATCH_ROWS rows, if not fewer. What a batch holds is no matter to any operator."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def unused_name(df: DataFrame) -> str:
     """A name that no column of the table starts with, whatever its case."""
     name = "_brindle"

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.bpe import opened
-from brindle.llm.common import materialize
+from brindle.llm.common import materialize, small_batches
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank long"
 
@@ -61,6 +61,7 @@ def _cut(vocabulary: str, capacity: int, end_id: int):
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of all documents, with their rank among the pieces of that length in their task."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(_cut(vocabulary, capacity, end_id), _PIECES)
 

@@ -7,12 +7,13 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import bpe, licenses, media, packing, sharding, token_counts, warc
+from brindle.llm import bpe, common, licenses, media, packing, sharding, token_counts, warc
 from brindle.llm.common import LOWER, UPPER, WORD_PATTERN, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -403,3 +404,27 @@ def test_license_spans_are_verified(spark):
 def test_license_plan_is_native(docs):
     plan = licenses.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_recent_values_keep_frequent_keys_within_two_generations():
+    asked = []
+    held = bpe.RecentValues(lambda k: asked.append(k) or k.encode(), 10)
+    for k in range(1000):
+        assert held["often"] == b"often" and held[str(k)] == str(k).encode()
+        assert len(held) + len(held.older) <= 20
+    assert asked.count("often") == 1  # a cache that fills up once would keep the first keys only
+    assert held["x" * 65] == b"x" * 65 and "x" * 65 not in held
+
+
+def test_ids_of_words_with_marks_equal_the_librarys():
+    whole, own = Tokenizer.from_file(VOCABULARY), bpe.PieceTokenizer(VOCABULARY, cache=8)
+    texts = ["", " ", "a ", " a", "word, word. word! don't we'll, ab1, 12. über, ÜBER: ﬁ, x\n y\t, ,a .b", "the the, the; the ,the the.. ..the", "日本, 語. a b, c"]
+    for t in [*texts, " ".join(texts), "  ".join(texts), " ".join(texts) * 3]:
+        assert own.packed_ids(t) == b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids)
+
+
+def test_texts_come_in_small_batches(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "'some text' as text").coalesce(1)
+    packing.cut_pieces(docs, VOCABULARY)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r.n for r in sizes) <= common.BATCH_ROWS
