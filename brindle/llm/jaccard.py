@@ -45,11 +45,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bucketed, materialize, parallel_tasks
+from brindle.llm.common import bucketed, materialize, parallel_tasks, small_batches
 from brindle.llm.components import connected
 from brindle.llm.filters import holds, key_filter
 from brindle.llm.packed import mixed, pack, small, unpack
 from brindle.llm.spaced import word_hashes
+from brindle.llm.worker import stage_cache
 
 WIDTH = 5
 #: Counters of the sketch, a byte each when broadcast.
@@ -101,14 +102,26 @@ def _rows(schema: str, columns: list) -> pa.RecordBatch:
 _SIGNED = "kind int, doc_id long, n_shingles long, class long, block int, counts binary"
 
 
+def _counter_blocks(counts: np.ndarray | None, held: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The sketch of a task, a block at a time: ``counts`` and what is still held. A task of few shingles has no counts."""
+    at = np.sort((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64)) if held else np.zeros(0, np.int64)
+    wide = COUNTERS // _BLOCKS
+    cuts = np.searchsorted(at, np.arange(_BLOCKS + 1) * wide)
+    for k in range(_BLOCKS):
+        block = np.bincount(at[cuts[k] : cuts[k + 1]] - k * wide, minlength=wide).astype(np.uint32)
+        yield block if counts is None else block + counts[k * wide : (k + 1) * wide]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.uint32)
-    held, size = [], 0
+    stage_cache()
+    counts: np.ndarray | None = None
+    held, size, total = [], 0, 0
 
     def flush() -> None:
-        if held:
-            np.add.at(counts, (np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
-            held.clear()
+        nonlocal counts
+        counts = np.zeros(COUNTERS, np.uint32) if counts is None else counts
+        np.add.at(counts, (np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
+        held.clear()
 
     for batch in batches:
         n, cls = [], []
@@ -118,16 +131,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls.append(_signed(_class_of(found)) if len(found) else None)
             held.append(found)
             size += len(found)
+            total += len(found)
             if size > _FLUSH:
                 flush()
                 size = 0
         blank = [None] * len(n)
         yield _rows(_SIGNED, [[0] * len(n), batch.column(0).to_pylist(), n, cls, blank, blank])
-    flush()
-    if counts.any():
-        blocks = counts.reshape(_BLOCKS, -1)
+    if total:
         blank = [None] * _BLOCKS
-        yield _rows(_SIGNED, [[1] * _BLOCKS, blank, blank, blank, list(range(_BLOCKS)), [pack(b) for b in blocks]])
+        yield _rows(_SIGNED, [[1] * _BLOCKS, blank, blank, blank, list(range(_BLOCKS)), [pack(b) for b in _counter_blocks(counts, held)]])
 
 
 def _merge_counts(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +169,7 @@ def _post(sketch, parts: int, hot_level: int):
     """Postings of the short lists, packed by partition. ``rests``: how many of the class's shingles, in order of rarity, start with this one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stage_cache()
         levels, met = sketch.value, set()
         tokens, classes, sizes, rests = [], [], [], []
         held = 0
@@ -245,6 +258,7 @@ def _table(kind: int, **columns) -> pd.DataFrame:
 
 
 def _search(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    stage_cache()
     got = [[unpack(x) for x in (r.tokens, r.classes, r.sizes, r.rests)] for t in tables for r in t.itertuples()]
     hot = bool(key[1])
     token, cls, size, rest = (np.concatenate([g[k] for g in got]) for k in range(4))
@@ -301,6 +315,7 @@ def short_lists(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
 
 def _emit_sets(classes, ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stage_cache()
         schema = "class long, doc_id long, hashes binary"
         for batch in batches:
             may = holds(ids.value, batch.column(0).fill_null(0).to_numpy().view(np.uint64))
@@ -345,6 +360,7 @@ def links_of(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stage_cache()
     for batch in batches:
         sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (2, 3)]
         good = pa.array([links_of(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
@@ -414,6 +430,7 @@ def divide_skip(lists: list[np.ndarray], needs: np.ndarray) -> np.ndarray:
 
 def _link_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Links between a block's queries and members that join components, each pair of components once."""
+    stage_cache()
     rows = rows.sort_values(["query", "a"])
     sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
     classes, query = rows["a"].to_numpy(), rows["query"].to_numpy()
@@ -485,6 +502,7 @@ def link_classes(docs: DataFrame, levels: np.ndarray, classes: DataFrame, total:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) of each document."""
+    small_batches(docs.sparkSession)
     signed, levels = sign_documents(docs)
     classes = signed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
     classes = materialize(classes, "classes")

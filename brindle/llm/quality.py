@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import crc_fold, unused_name
+from brindle.llm.common import crc_fold, small_batches, unused_name
 from brindle.llm.packed import pack, unpack
 from brindle.llm.worker import stage_cache
 
@@ -267,6 +267,7 @@ def _scorer(vectors, network):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_fold: int = 2, folds: int = 4, sample: int = 8_000):
     """The word vectors (broadcast) and the fitted network (broadcast)."""
     spark = docs.sparkSession
+    small_batches(spark)
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
     rows = training_rows(docs, labels, label, held_fold, folds, sample).mapInArrow(_features(vectors), "doc_id long, label int, x binary").collect()
     rows = sorted({(r.doc_id, r.label, bytes(r.x)) for r in rows}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r))

@@ -524,3 +524,16 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert got.columns == df.columns
     want = [(1, a), (2, b), (5, c), (5, d), (7, e), (None, f), (20, ""), (21, None), (22, "")]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_sketch_of_a_task_is_the_same_with_and_without_counters(monkeypatch):
+    rng = np.random.default_rng(3)
+    held = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 500, 3)] + [np.full(70_000, 5, np.uint64)]
+    want = np.zeros(jaccard.COUNTERS, np.uint32)
+    for h in held:
+        np.add.at(want, (h % np.uint64(jaccard.COUNTERS)).astype(np.int64), np.uint32(1))
+    half = np.zeros(jaccard.COUNTERS, np.uint32)
+    np.add.at(half, (np.concatenate(held[:2]) % np.uint64(jaccard.COUNTERS)).astype(np.int64), np.uint32(1))
+    for counts, rest in ((None, held), (half, held[2:]), (want, [])):
+        got = np.concatenate(list(jaccard._counter_blocks(counts, rest)))
+        assert got.dtype == np.uint32 and (got == want).all()
